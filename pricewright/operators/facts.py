@@ -80,3 +80,12 @@ def period_sales(lines: DataFrame, unit: str | list[str], period: Column, name:
         )
         .withColumn("price", F.col("amount").cast("double") / F.nullif(F.col("quantity"), F.lit(0.0)))
     )
+
+
+def in_year(df: DataFrame, *years: int, date: str = "l_shipdate") -> DataFrame:
+    """Rows of the given years, as date ranges that parquet can skip by."""
+    wanted = F.lit(False)
+    for year in years:
+        low, high = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+        wanted = wanted | ((F.col(date) >= low) & (F.col(date) < high))
+    return df.filter(wanted)

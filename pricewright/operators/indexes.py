@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pricewright.operators.facts import period_sales
-from pricewright.operators.joins import in_year
+from pricewright.operators.facts import in_year, period_sales
 
 
 def price_index(sales: DataFrame, unit: str, base: int) -> DataFrame:
@@ -45,8 +44,7 @@ def revenue_split(lineitem: DataFrame, first: int, second: int) -> DataFrame:
     volume part scales the old basket to the new total quantity, and mix is
     what the shift between products adds. One scan gives both years.
     """
-    years = in_year(lineitem, first).unionByName(in_year(lineitem, second)) if second - first != 1 else _span(lineitem, first, second)
-    sales = period_sales(years, "l_partkey", F.year("l_shipdate"), "year")
+    sales = period_sales(in_year(lineitem, first, second), "l_partkey", F.year("l_shipdate"), "year")
 
     def at(year: int, col: str):
         return F.max(F.when(F.col("year") == year, F.col(col)))
@@ -80,7 +78,3 @@ def revenue_split(lineitem: DataFrame, first: int, second: int) -> DataFrame:
         F.coalesce(F.col("_quantity_effect") - volume, zero).alias("mix_effect"),
     )
 
-
-def _span(lineitem: DataFrame, first: int, second: int) -> DataFrame:
-    low, high = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (first, second + 1))
-    return lineitem.filter((F.col("l_shipdate") >= low) & (F.col("l_shipdate") < high))

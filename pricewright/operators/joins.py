@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pricewright.functions import columns as C
-from pricewright.operators.facts import period_sales
+from pricewright.operators.facts import in_year, period_sales
 from pricewright.operators.skew import HOT_ROWS, by_heat, latest, with_carry
 
 # -- as-of -----------------------------------------------------------------------
@@ -186,12 +186,6 @@ def _line_orders(lineitem: DataFrame) -> DataFrame:
     return lineitem.select("l_orderkey").distinct()
 
 
-def in_year(df: DataFrame, year: int, date: str = "l_shipdate") -> DataFrame:
-    """Rows of one year, as a range that parquet can skip by."""
-    low, high = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
-    return df.filter((F.col(date) >= low) & (F.col(date) < high))
-
-
 def match_periods(lineitem: DataFrame, first: int, second: int) -> DataFrame:
     """Full outer match of product sales in two years."""
     def year_sales(year: int, suffix: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pricewright.operators.quantiles import exact_quantiles
-from pricewright.operators.skew import matches
+from pricewright.operators.skew import join_on
 from pricewright.session import written
 
 
@@ -15,14 +15,14 @@ def quartile_outliers(lines: DataFrame, by: str = "p_brand", reach: float = 1.5)
     spread = F.col("q3") - F.col("q1")
     fences = fences.select(by, (F.col("q1") - reach * spread).alias("low"), (F.col("q3") + reach * spread).alias("high"))
     fences = written(fences, "fences")
-    judged = lines.join(fences, matches(lines, fences, [by])).drop(fences[by])
+    judged = join_on(lines, fences, [by])
     return judged.filter((F.col("unit_price") < F.col("low")) | (F.col("unit_price") > F.col("high")))
 
 
 def median_deviation(lines: DataFrame, by: str = "p_brand") -> DataFrame:
     """Median price and median distance from it per group."""
     medians = written(exact_quantiles(lines, [by], "unit_price", {"median_price": 0.5}), "medians")
-    around = lines.join(medians, matches(lines, medians, [by])).drop(medians[by])
+    around = join_on(lines, medians, [by])
     distance = around.select(by, F.abs(F.col("unit_price") - F.col("median_price")).alias("distance"))
     spread = exact_quantiles(distance, [by], "distance", {"mad": 0.5}).drop("n")
-    return medians.join(spread, matches(medians, spread, [by])).drop(spread[by])
+    return join_on(medians, spread, [by])

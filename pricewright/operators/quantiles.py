@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricewright.functions import columns as C
-from pricewright.operators.skew import matches
+from pricewright.operators.skew import join_on
 from pricewright.session import written
 
 
@@ -39,11 +39,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     # Pass 2: the rows of the wanted cells, as counts per distinct value.
     cell = [*keys, "_cell"]
     near = wanted.select(*cell)
-    inside = values.join(near, matches(values, near, cell), "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    inside = join_on(values, near, cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_m"))
     upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_upto", F.sum("_m").over(upto))
-    placed = inside.join(wanted, matches(inside, wanted, cell)).drop(*[wanted[c] for c in cell])
-    placed = placed.select(*keys, "n", "_v", F.expr("_before + _upto - _m").alias("_from"), F.expr("_before + _upto").alias("_to"), "_ranks")
+    placed = join_on(inside, wanted, cell).select(*keys, "n", "_v", F.expr("_before + _upto - _m").alias("_from"), F.expr("_before + _upto").alias("_to"), "_ranks")
     hit = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to")))
     picked = placed.select(*keys, "n", "_v", F.explode(hit).alias("_hit"))
     return picked.groupBy(*keys).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pricewright.functions import columns as C
-from pricewright.operators.joins import in_year
+from pricewright.operators.facts import in_year
 
 
 def _sold(lineitem: DataFrame, year: int) -> DataFrame:

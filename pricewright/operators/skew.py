@@ -26,12 +26,12 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:
     return df.groupBy(*keys).count().filter(F.col("count") > rows).select(*keys)
 
 
-def matches(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equality on ``names`` that also pairs null with null."""
-    condition = left[names[0]].eqNullSafe(right[names[0]])
-    for name in names[1:]:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``names``, with null equal to null; keeps the left keys."""
+    renamed = right.withColumnsRenamed({n: f"_r_{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names]
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{n}" for n in names])
 
 
 def by_heat(
@@ -52,8 +52,8 @@ def by_heat(
     if hot.isEmpty():
         return plain(df)
     hot = F.broadcast(hot)
-    light = df.join(hot, matches(df, hot, keys), "left_anti")
-    heavy = df.join(hot, matches(df, hot, keys), "left_semi")
+    light = join_on(df, hot, keys, "left_anti")
+    heavy = join_on(df, hot, keys, "left_semi")
     return plain(light).unionByName(split(heavy))
 
 
@@ -70,8 +70,9 @@ def with_carry(
     """
     totals = df.groupBy(*keys, cell).agg(*[agg.alias(name) for name, (agg, _) in carries.items()])
     earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, cell, *[merge(F.col(name)).over(earlier).alias(name) for name, (_, merge) in carries.items()])
-    return df.join(carry, matches(df, carry, [*keys, cell]), "left").drop(*[carry[c] for c in [*keys, cell]])
+    merged = [merge(F.col(name)).over(earlier).alias(name) for name, (_, merge) in carries.items()]
+    carry = totals.select(*keys, cell, *merged)
+    return join_on(df, carry, [*keys, cell], "left")
 
 
 def latest(col: Column) -> Column:
@@ -86,12 +87,8 @@ def joined_back(df: DataFrame, stats: DataFrame, keys: list[str], count: str, ro
     so their stats are broadcast and their rows stay where they are.
     """
     hot = F.broadcast(stats.filter(F.col(count) > rows))
-    light = df.join(hot, matches(df, hot, keys), "left_anti")
-
-    def joined(part: DataFrame, side: DataFrame) -> DataFrame:
-        return part.join(side, matches(part, side, keys)).drop(*[side[k] for k in keys])
-
-    return joined(light, stats).unionByName(joined(df, hot))
+    light = join_on(df, hot, keys, "left_anti")
+    return join_on(light, stats, keys).unionByName(join_on(df, hot, keys))
 
 
 def running_total(df: DataFrame, order: list[Column], value: str, running: str, total: str) -> DataFrame:

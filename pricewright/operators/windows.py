@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricewright.functions import columns as C
 from pricewright.operators.quantiles import exact_quantiles
-from pricewright.operators.skew import HOT_ROWS, by_heat, joined_back, matches, running_total, with_carry
+from pricewright.operators.skew import HOT_ROWS, by_heat, join_on, joined_back, running_total, with_carry
 
 
 def supplier_prices(lineitem: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def _position_split(prices: DataFrame, tiles: int) -> DataFrame:
     in_block = F.row_number().over(Window.partitionBy(*tie, "_block").orderBy("l_suppkey"))
     placed = blocks.withColumn("_within", F.coalesce("_earlier", zero) + in_block)
     out = joined_back(placed, per_price, tie, "_n")
-    out = out.join(totals, matches(out, totals, key)).drop(totals["l_partkey"])
+    out = join_on(out, totals, key)
     position = F.col("rank") + F.col("_within") - 1
     return out.select(
         *key,
@@ -124,8 +124,7 @@ def _gap_plain(prices: DataFrame) -> DataFrame:
 def _gap_split(prices: DataFrame) -> DataFrame:
     totals = prices.groupBy("l_partkey").agg(F.sum("price").alias("_total"), F.count("price").alias("_n"))
     totals = F.broadcast(totals)  # heavy products only
-    both = prices.join(totals, matches(prices, totals, ["l_partkey"])).drop(totals["l_partkey"])
-    return _gap(both, F.col("_total"), F.col("_n"))
+    return _gap(join_on(prices, totals, ["l_partkey"]), F.col("_total"), F.col("_n"))
 
 
 def median_gap(lineitem: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
@@ -144,7 +143,7 @@ def _median_plain(lines: DataFrame) -> DataFrame:
 def _median_split(lines: DataFrame) -> DataFrame:
     medians = exact_quantiles(lines, ["l_partkey"], "unit_price", {"median_price": 0.5}).drop("n")
     medians = F.broadcast(medians)  # heavy products only
-    both = lines.join(medians, matches(lines, medians, ["l_partkey"]), "left").drop(medians["l_partkey"])
+    both = join_on(lines, medians, ["l_partkey"], "left")
     return both.withColumn("gap", F.col("unit_price") - F.col("median_price"))
 
 
@@ -200,7 +199,7 @@ def _activity_plain(events: DataFrame) -> DataFrame:
         "user_id",
         "ts",
         F.expr(f"count(1) over {frame}").alias("events_1d"),
-        F.expr(f"sum(value) over {frame}").cast("decimal(28,2)").alias("value_1d"),
+        F.coalesce(F.expr(f"sum(value) over {frame}"), F.lit(0)).cast("decimal(28,2)").alias("value_1d"),
     )
 
 
