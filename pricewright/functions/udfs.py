@@ -1,18 +1,23 @@
 """Python functions on Arrow batches, each next to what bounds its groups.
 
-The built-ins do all of this faster; these show where user code plugs in.
+The built-ins do all of this faster; these show where user code plugs in. The
+functions are made inside others so that they travel to the workers by value
+and no worker has to import this package.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
-@F.pandas_udf("double")
-def geometric_mean(values: pd.Series) -> float:
-    return float(np.exp(np.log(values).mean()))
+def geometric_mean_udf():
+    def geometric_mean(values):
+        return float(np.exp(np.log(values).mean()))
+
+    geometric_mean.__annotations__ = {"values": pd.Series, "return": float}
+    return F.pandas_udf(geometric_mean, T.DoubleType())
 
 
 def geometric_prices(daily: DataFrame, by: str) -> DataFrame:
@@ -20,27 +25,30 @@ def geometric_prices(daily: DataFrame, by: str) -> DataFrame:
     above and by built-ins. ``daily`` has one row per ``by`` and day, so a
     group holds at most 366 rows. The two kinds cannot share an ``agg``."""
     days = daily.filter(F.col("price") > 0).withColumn("year", F.year("day"))
-    own = days.groupBy(by, "year").agg(geometric_mean("price").alias("geo_price"))
+    own = days.groupBy(by, "year").agg(geometric_mean_udf()("price").alias("geo_price"))
     built_in = days.groupBy(by, "year").agg(F.exp(F.avg(F.ln("price"))).alias("geo_price_check"))
     return own.join(built_in, [by, "year"])
 
 
-@F.udtf(returnType="step int, low double, high double")
-class PriceSteps:
-    """Equal steps between two prices."""
+def price_steps_udtf():
+    class PriceSteps:
+        """Equal steps between two prices."""
+
+        def eval(self, low, high, steps):
+            if low is None or high is None:
+                return
+            width = (high - low) / steps
+            for i in range(steps):
+                yield i + 1, low + i * width, low + (i + 1) * width
 
-    def eval(self, low: float, high: float, steps: int):
-        if low is None or high is None:
-            return
-        width = (high - low) / steps
-        for i in range(steps):
-            yield i + 1, low + i * width, low + (i + 1) * width
+    step = T.StructType().add("step", T.IntegerType()).add("low", T.DoubleType()).add("high", T.DoubleType())
+    return F.udtf(PriceSteps, returnType=step)
 
 
 def price_steps(ranges: DataFrame, by: str, steps: int) -> DataFrame:
     """Steps from ``low`` to ``high`` for each row of ``ranges``."""
     spark = ranges.sparkSession
-    spark.udtf.register("price_steps", PriceSteps)
+    spark.udtf.register("price_steps", price_steps_udtf())
     return spark.sql(
         f"select r.{by}, s.step, s.low, s.high from {{ranges}} r, lateral price_steps(r.low, r.high, {int(steps)}) s",
         ranges=ranges,
@@ -51,7 +59,7 @@ def median_daily_price(daily: DataFrame) -> DataFrame:
     """Median of a product's daily prices, group by group in pandas. A group
     is bounded by the number of calendar days."""
 
-    def median(days: pd.DataFrame) -> pd.DataFrame:
+    def median(days):
         return pd.DataFrame({"l_partkey": days["l_partkey"].iloc[:1], "median_price": [days["price"].median()]})
 
     return daily.select("l_partkey", "price").groupBy("l_partkey").applyInPandas(median, "l_partkey bigint, median_price double")

@@ -69,4 +69,5 @@ def _rank(name: str, rank: Column, weight: Column) -> Column:
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """The same by the built-in aggregate, for groups known to be small."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), *[F.percentile(v, p).alias(name) for name, p in probs.items()])
+    both = df.groupBy(*keys).agg(F.count(v).alias("n"), F.percentile(v, list(probs.values())).alias("_q"))
+    return both.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])

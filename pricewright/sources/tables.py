@@ -36,7 +36,7 @@ def load_stream(
     folder: str,
     name: str = "events",
     files: str | None = None,
-    max_bytes: str = "64g",
+    max_bytes: int = 64 << 30,
 ) -> DataFrame:
     """Read a folder of parquet files of one table as a stream.
 

@@ -6,8 +6,6 @@ In append mode a window appears once the watermark has passed its end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -80,25 +78,25 @@ def previous_value(events: DataFrame) -> DataFrame:
     Batches are taken to arrive in time order. A user's rows of one batch are
     sorted together; the stream reader's ``max_bytes`` bounds a batch.
     """
+
+    # Defined here so that it reaches the workers by value.
+    def previous(key, batches, state):
+        rows = pd.concat(batches).sort_values(["ts", "event_id"])
+        rows["previous"] = rows["value"].shift()
+        if state.exists and state.get[0] is not None:
+            rows.iloc[0, rows.columns.get_loc("previous")] = state.get[0]
+        last = rows["value"].iloc[-1]
+        state.update((None if pd.isna(last) else float(last),))
+        yield rows[["event_id", "user_id", "ts", "value", "previous"]]
+
     return (
         events.select("event_id", "user_id", "ts", "value")
         .groupBy("user_id")
         .applyInPandasWithState(
-            _previous,
+            previous,
             "event_id bigint, user_id bigint, ts timestamp, value double, previous double",
             "value double",
             "append",
             "NoTimeout",
         )
     )
-
-
-def _previous(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(batches).sort_values(["ts", "event_id"])
-    before = state.get[0] if state.exists else None
-    rows["previous"] = rows["value"].shift()
-    if before is not None:
-        rows.iloc[0, rows.columns.get_loc("previous")] = before
-    last = rows["value"].iloc[-1]
-    state.update((None if pd.isna(last) else float(last),))
-    yield rows[["event_id", "user_id", "ts", "value", "previous"]]
