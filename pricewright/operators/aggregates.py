@@ -15,7 +15,7 @@ def price_summary(lines: DataFrame, by: str = "p_brand") -> DataFrame:
         F.stddev_samp(p).alias("sd_price"),
         F.min(p).alias("min_price"),
         F.max(p).alias("max_price"),
-        (F.sum(C.money("l_extendedprice")).cast("double") / F.sum("l_quantity")).alias("weighted_price"),
+        (F.sum("l_extendedprice") / F.nullif(F.sum("l_quantity"), F.lit(0.0))).alias("weighted_price"),
     )
 
 

@@ -62,10 +62,10 @@ def daily_prices(lineitem: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("lines"),
             F.sum("l_quantity").alias("quantity"),
-            F.sum(C.money("l_extendedprice")).alias("amount"),
+            C.summed_money("l_extendedprice").alias("amount"),
             F.sum(C.unit_price()).alias("price_sum"),
         )
-        .withColumn("price", F.col("amount").cast("double") / F.nullif(F.col("quantity"), F.lit(0.0)))
+        .withColumn("price", F.col("amount") / F.nullif(F.col("quantity"), F.lit(0.0)))
     )
 
 
@@ -76,9 +76,9 @@ def period_sales(lines: DataFrame, unit: str | list[str], period: Column, name:
         lines.groupBy(*units, period.alias(name))
         .agg(
             F.sum("l_quantity").alias("quantity"),
-            F.sum(C.money("l_extendedprice")).alias("amount"),
+            C.summed_money("l_extendedprice").alias("amount"),
         )
-        .withColumn("price", F.col("amount").cast("double") / F.nullif(F.col("quantity"), F.lit(0.0)))
+        .withColumn("price", F.col("amount") / F.nullif(F.col("quantity"), F.lit(0.0)))
     )
 
 

@@ -50,8 +50,8 @@ def revenue_split(lineitem: DataFrame, first: int, second: int) -> DataFrame:
         return F.max(F.when(F.col("year") == year, F.col(col)))
 
     items = sales.groupBy("l_partkey").agg(
-        at(first, "amount").alias("a0"),
-        at(second, "amount").alias("a1"),
+        at(first, "amount").cast("decimal(20,2)").alias("a0"),
+        at(second, "amount").cast("decimal(20,2)").alias("a1"),
         at(first, "quantity").alias("q0"),
         at(second, "quantity").alias("q1"),
         at(first, "price").alias("p0"),

@@ -28,42 +28,54 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     cells = written(values.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")), "cells")
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
-        .withColumn("n", F.sum("_n").over(group))
-        .withColumn("_ranks", F.filter(_ranks(probs), lambda r: r["rank"].between(F.col("_before"), F.col("_before") + F.col("_n") - 1)))
-        .filter(F.size("_ranks") > 0)
-        .select(*keys, "_cell", "_before", "n", "_ranks")
-    )
+    cells = cells.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
+    cells = cells.withColumn("n", F.sum("_n").over(group))
+    wanted = cells.filter(_any_rank_in(probs, F.col("_first"), F.col("_first") + F.col("_n")))
 
     # Pass 2: the rows of the wanted cells, as counts per distinct value.
     cell = [*keys, "_cell"]
-    near = wanted.select(*cell)
-    inside = join_on(values, near, cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    inside = join_on(values, wanted.select(*cell), cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_m"))
     upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_upto", F.sum("_m").over(upto))
-    placed = join_on(inside, wanted, cell).select(*keys, "n", "_v", F.expr("_before + _upto - _m").alias("_from"), F.expr("_before + _upto").alias("_to"), "_ranks")
-    hit = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to")))
-    picked = placed.select(*keys, "n", "_v", F.explode(hit).alias("_hit"))
-    return picked.groupBy(*keys).agg(
+    placed = join_on(inside, wanted.select(*cell, "n", "_first"), cell)
+    start = F.col("_first") + F.col("_upto") - F.col("_m")
+    placed = placed.withColumns({"_from": start, "_to": start + F.col("_m")})
+    placed = placed.filter(_any_rank_in(probs, F.col("_from"), F.col("_to")))
+    return placed.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        *[F.sum(F.when(F.col("_hit.name") == name, F.col("_v") * F.col("_hit.weight"))).alias(name) for name in probs],
+        *[F.sum(F.col("_v") * _weight(p, F.col("_from"), F.col("_to"))).alias(name) for name, p in probs.items()],
     )
 
 
-def _ranks(probs: dict[str, float]) -> Column:
-    """The two ranks around each quantile and their weights, given ``n``."""
-    ranks = []
-    for name, p in probs.items():
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        low = F.floor(position)
-        ranks.append(_rank(name, low, 1 - (position - low)))
-        ranks.append(_rank(name, low + 1, position - low))
-    return F.filter(F.array(*ranks), lambda r: r["weight"] > 0)
+# A quantile lies between two ranks, counted from 0, and is the mean of the
+# values there weighted by how near each is. These give the ranks and weights
+# for a group of ``n`` values.
+
+
+def _low(p: float) -> Column:
+    return F.floor(F.lit(float(p)) * (F.col("n") - 1))
+
+
+def _share(p: float) -> Column:
+    return F.lit(float(p)) * (F.col("n") - 1) - _low(p)
+
+
+def _any_rank_in(probs: dict[str, float], start: Column, end: Column) -> Column:
+    """Whether ranks from ``start`` to before ``end`` take in a wanted one."""
+    wanted = F.lit(False)
+    for p in probs.values():
+        wanted = wanted | ((_low(p) < end) & (_low(p) + F.when(_share(p) > 0, 1).otherwise(0) >= start))
+    return wanted
+
 
+def _weight(p: float, start: Column, end: Column) -> Column:
+    """Weight of a value that fills the ranks from ``start`` to before ``end``;
+    null, so that it is not added at all, when it has none."""
+    def has(rank: Column) -> Column:
+        return (rank >= start) & (rank < end)
 
-def _rank(name: str, rank: Column, weight: Column) -> Column:
-    return F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"), weight.cast("double").alias("weight"))
+    low, high = has(_low(p)), has(_low(p) + 1) & (_share(p) > 0)
+    return F.when(low & high, 1.0).when(low, 1 - _share(p)).when(high, _share(p))
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

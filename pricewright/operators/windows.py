@@ -12,7 +12,7 @@ from pricewright.operators.skew import HOT_ROWS, by_heat, join_on, joined_back,
 def supplier_prices(lineitem: DataFrame) -> DataFrame:
     """Average price each supplier took for each product."""
     return lineitem.groupBy("l_partkey", "l_suppkey").agg(
-        (F.sum(C.money("l_extendedprice")).cast("double") / F.sum("l_quantity")).alias("price")
+        (C.summed_money("l_extendedprice") / F.nullif(F.sum("l_quantity"), F.lit(0.0))).alias("price")
     )
 
 
