@@ -21,6 +21,9 @@ def quartile_outliers(lines: DataFrame, by: str = "p_brand", reach: float = 1.5)
 
 def median_deviation(lines: DataFrame, by: str = "p_brand") -> DataFrame:
     """Median price and median distance from it per group."""
+    # Four passes follow; the two columns are written so that the join that
+    # gave them runs once.
+    lines = written(lines.select(by, "unit_price"), "prices")
     medians = written(exact_quantiles(lines, [by], "unit_price", {"median_price": 0.5}), "medians")
     around = join_on(lines, medians, [by])
     distance = around.select(by, F.abs(F.col("unit_price") - F.col("median_price")).alias("distance"))

@@ -19,25 +19,29 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     """Interpolated quantiles per group, with the count of values ``n``.
 
     ``probs`` maps an output column to a probability. Nulls are left out.
+    ``df`` is read twice: write it first when it is costly to compute.
     """
     v = F.col(value) if isinstance(value, str) else value
     values = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     values = values.withColumn("_cell", C.price_step("_v"))
 
     # Pass 1: at most a few thousand cells per group, however many rows.
-    cells = written(values.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")), "cells")
+    cells = values.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
     cells = cells.withColumn("n", F.sum("_n").over(group))
     wanted = cells.filter(_any_rank_in(probs, F.col("_first"), F.col("_first") + F.col("_n")))
+    # At most two cells per group and quantile; written, so that their true
+    # size decides how they are joined.
+    wanted = written(wanted.select(*keys, "_cell", "_first", "n"), "cells")
 
     # Pass 2: the rows of the wanted cells, as counts per distinct value.
     cell = [*keys, "_cell"]
     inside = join_on(values, wanted.select(*cell), cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_m"))
     upto = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_upto", F.sum("_m").over(upto))
-    placed = join_on(inside, wanted.select(*cell, "n", "_first"), cell)
+    placed = join_on(inside, wanted, cell)
     start = F.col("_first") + F.col("_upto") - F.col("_m")
     placed = placed.withColumns({"_from": start, "_to": start + F.col("_m")})
     placed = placed.filter(_any_rank_in(probs, F.col("_from"), F.col("_to")))

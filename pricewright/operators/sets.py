@@ -22,10 +22,21 @@ def sold_only_first(lineitem: DataFrame, first: int, second: int) -> DataFrame:
     return _sold(lineitem, first).distinct().subtract(_sold(lineitem, second).distinct())
 
 
-def surplus_sales(lineitem: DataFrame, first: int, second: int) -> DataFrame:
+def surplus_sales(lineitem: DataFrame, first: int, second: int, block: int = 1_000_000) -> DataFrame:
     """Bag difference: a product sold m times in the first year and n in the
-    second appears m - n times."""
-    return _sold(lineitem, first).exceptAll(_sold(lineitem, second))
+    second appears m - n times.
+
+    ``exceptAll`` would write out all copies of a product in one task. Here a
+    product's copies are cut into blocks, which are spread before they unfold.
+    """
+    sales = in_year(lineitem, first, second)
+    year = F.year("l_shipdate")
+    left = sales.groupBy("l_partkey").agg((F.count_if(year == first) - F.count_if(year == second)).alias("copies"))
+    last = F.ceil(F.col("copies") / block) - 1
+    blocks = left.filter("copies > 0").select("l_partkey", "copies", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("at"))
+    size = F.least(F.lit(block).cast("bigint"), F.col("copies") - F.col("at") * block)
+    spread = blocks.repartition("l_partkey", "at").select("l_partkey", size.cast("int").alias("size"))
+    return spread.select("l_partkey", F.explode(F.array_repeat(F.lit(1), F.col("size")))).select("l_partkey")
 
 
 def stacked_series(lineitem: DataFrame, events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pricewright.functions import columns as C
 from pricewright.operators.quantiles import exact_quantiles
 from pricewright.operators.skew import HOT_ROWS, by_heat, join_on, joined_back, running_total, with_carry
+from pricewright.session import written
 
 
 def supplier_prices(lineitem: DataFrame) -> DataFrame:
@@ -51,6 +52,7 @@ def _position_split(prices: DataFrame, tiles: int) -> DataFrame:
     gather in one task either.
     """
     key = ["l_partkey"]
+    prices = written(prices, "prices")  # an aggregate that is used six times
     step = prices.withColumn("_step", C.price_step("price"))
     per_price = step.groupBy(*key, "_step", "price").agg(F.count(F.lit(1)).alias("_n"))
     per_price = with_carry(

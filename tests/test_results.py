@@ -119,11 +119,18 @@ def test_bag_difference(spark):
         return [(1, dt.datetime(year, 3, 1))] * n
 
     lines = spark.createDataFrame(sold(1996, 5) + sold(1997, 2), "l_partkey long, l_shipdate timestamp_ntz")
-    assert sets.surplus_sales(lines, 1996, 1997).count() == 3
+    for block in (1, 2, 1_000_000):
+        assert sets.surplus_sales(lines, 1996, 1997, block).count() == 3
     assert sets.sold_only_first(lines, 1996, 1997).count() == 0
     assert sets.sold_in_both(lines, 1996, 1997).count() == 1
 
 
+def test_bag_difference_is_except_all(lineitem):
+    a, b = (facts.in_year(lineitem, y).select("l_partkey") for y in (1996, 1997))
+    got, want = sets.surplus_sales(lineitem, 1996, 1997, 2), a.exceptAll(b)
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_discount_bands_on_their_edges(spark):
     df = spark.createDataFrame([(d / 100,) for d in range(11)], "l_discount double")
     assert [r[0] for r in df.select(C.discount_band()).collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5]
