@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from pricewright.functions import columns as C
 from pricewright.operators.quantiles import exact_quantiles
@@ -189,41 +189,44 @@ def open_close(daily: DataFrame) -> DataFrame:
 
 
 def rolling_activity(events: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
-    """Per event, count and value of its user's events in the day up to it."""
-    wanted = events.select("event_id", "user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
-    return by_heat(wanted, ["user_id"], _activity_plain, _activity_split, rows)
-
-
-def _activity_plain(events: DataFrame) -> DataFrame:
-    frame = "(partition by user_id order by ts range between interval 1 day preceding and current row)"
-    return events.select(
-        "event_id",
-        "user_id",
-        "ts",
-        F.expr(f"count(1) over {frame}").alias("events_1d"),
-        F.coalesce(F.expr(f"sum(value) over {frame}"), F.lit(0)).cast("decimal(28,2)").alias("value_1d"),
-    )
-
-
-def _activity_split(events: DataFrame) -> DataFrame:
-    """A running sum in which every event is taken back one day later.
+    """Per event, count and value of its user's events in the day up to it.
 
+    A running sum in which every event is taken back one day later. Spark adds
+    up a sliding range frame anew for each row, which for a user with many
+    events a day is quadratic; a running sum is not, and it splits into cells.
     An event still counts at exactly one day, so its withdrawal sorts after
-    the events of that instant. Running sums split into cells of a minute.
+    the events of that instant.
     """
-    own = events.withColumns({"_n": F.lit(1), "_v": F.col("value")})
-    gone = events.withColumns(
-        {"ts": F.expr("ts + interval 1 day"), "event_id": F.lit(None).cast("bigint"), "_n": F.lit(-1), "_v": -F.col("value")}
+    value = F.col("value").cast("decimal(18,2)")
+    steps = F.array(
+        F.struct(F.col("ts").alias("at"), F.lit(1).alias("n"), value.alias("v")),
+        F.struct(F.expr("ts + interval 1 day").alias("at"), F.lit(-1).alias("n"), (-value).alias("v")),
     )
-    both = own.unionByName(gone).withColumn("_minute", C.minute_number("ts"))
-    both = with_carry(both, ["user_id"], "_minute", {"_n0": (F.sum("_n"), F.sum), "_v0": (F.sum("_v"), F.sum)})
+    both = events.select("event_id", "user_id", "ts", F.inline(steps))
+    summed = by_heat(both, ["user_id"], _activity_plain, _activity_split, rows)
+    return summed.filter(F.col("n") == 1).select(
+        "event_id", "user_id", "ts", "events_1d", F.col("value_1d").cast("decimal(28,2)").alias("value_1d")
+    )
+
+
+def _activity_plain(both: DataFrame) -> DataFrame:
+    return _running(both, Window.partitionBy("user_id"))
+
+
+def _activity_split(both: DataFrame) -> DataFrame:
+    cells = both.withColumn("_minute", C.minute_number("at"))
+    cells = with_carry(cells, ["user_id"], "_minute", {"_n0": (F.sum("n"), F.sum), "_v0": (F.sum("v"), F.sum)})
+    summed = _running(cells, Window.partitionBy("user_id", "_minute"))
+    for total, carried in (("events_1d", "_n0"), ("value_1d", "_v0")):
+        summed = summed.withColumn(total, F.col(total) + F.coalesce(carried, F.lit(0)))
+    return summed.drop("_minute", "_n0", "_v0")
+
+
+def _running(both: DataFrame, within: WindowSpec) -> DataFrame:
     # Events of one instant see each other, as in a range frame.
-    upto = Window.partitionBy("user_id", "_minute").orderBy("ts", F.desc("_n")).rangeBetween(Window.unboundedPreceding, 0)
-    return (
-        both.withColumn("events_1d", F.coalesce("_n0", F.lit(0)) + F.sum("_n").over(upto))
-        .withColumn("value_1d", (F.coalesce("_v0", F.lit(0)) + F.coalesce(F.sum("_v").over(upto), F.lit(0))).cast("decimal(28,2)"))
-        .filter(F.col("_n") == 1)
-        .select("event_id", "user_id", "ts", "events_1d", "value_1d")
+    upto = within.orderBy("at", F.desc("n")).rangeBetween(Window.unboundedPreceding, 0)
+    return both.withColumns(
+        {"events_1d": F.sum("n").over(upto), "value_1d": F.coalesce(F.sum("v").over(upto), F.lit(0))}
     )
 
 

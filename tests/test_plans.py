@@ -38,3 +38,22 @@ def test_one_scan_for_both_sides_of_the_asof(spark, sf_dir):
     text = plan(entry.queries()["asof_last_view"](spark, sf_dir))
     assert text.count("events.parquet") == 1
     assert "In(event_type, [purchase,view])" in text
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["price_fact", "price_quantiles", "asof_last_view", "interval_join", "supplier_position", "list_price_position",
+     "revenue_classes", "quartile_outliers", "median_deviation", "price_index", "lead_time_curve"],
+)
+def test_nothing_small_enough_to_broadcast(spark, sf_dir, name):
+    """As with dimensions that have outgrown the broadcast threshold."""
+    from compare import connect, differences
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()[name](spark, sf_dir)
+        text = plan(df)
+        assert "CartesianProduct" not in text and "NestedLoop" not in text
+        assert differences(df, connect(sf_dir), entry.oracle_sql()[name]) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

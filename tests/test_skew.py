@@ -158,3 +158,10 @@ def test_price_step_keeps_order(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     steps = [r[0] for r in df.orderBy("i").select(price_step("v")).collect()]
     assert steps == sorted(steps)
+
+
+def test_rolling_activity_against_a_range_frame(lopsided_events):
+    frame = "(partition by user_id order by ts range between interval 1 day preceding and current row)"
+    value = "coalesce(sum(cast(value as decimal(18,2))) over " + frame + ", 0) as value_1d"
+    want = lopsided_events.selectExpr("event_id", "user_id", "ts", f"count(1) over {frame} as events_1d", value)
+    same(want, windows.rolling_activity(lopsided_events, NEVER))
