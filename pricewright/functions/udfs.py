@@ -62,4 +62,8 @@ def median_daily_price(daily: DataFrame) -> DataFrame:
     def median(days):
         return pd.DataFrame({"l_partkey": days["l_partkey"].iloc[:1], "median_price": [days["price"].median()]})
 
-    return daily.select("l_partkey", "price").groupBy("l_partkey").applyInPandas(median, "l_partkey bigint, median_price double")
+    # Python work per group is slow and its bytes are few; a stated number of
+    # partitions keeps adaptive execution from merging them into one task.
+    tasks = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = daily.select("l_partkey", "price").repartition(tasks, "l_partkey")
+    return spread.groupBy("l_partkey").applyInPandas(median, "l_partkey bigint, median_price double")

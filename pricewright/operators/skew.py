@@ -40,15 +40,13 @@ def by_heat(
     plain: Callable[[DataFrame], DataFrame],
     split: Callable[[DataFrame], DataFrame],
     rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``plain`` over the light keys of ``df``, ``split`` over the heavy ones.
 
-    Runs one count over the key columns. ``counted`` is a cheaper frame to
-    count on, with at least as many rows per key as ``df``. With no heavy key
-    the result is just ``plain(df)``.
+    Runs one count over the key columns. With no heavy key the result is just
+    ``plain(df)``.
     """
-    hot = written(hot_keys(df if counted is None else counted, keys, rows), "hot-keys")
+    hot = written(hot_keys(df, keys, rows), "hot-keys")
     if hot.isEmpty():
         return plain(df)
     hot = F.broadcast(hot)

@@ -17,30 +17,44 @@ def supplier_prices(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def _light_prices(lines: DataFrame) -> DataFrame:
+    """The same for light products, in the partitioning the window after it
+    needs. Few lines share product and supplier, so a shuffle of partial sums
+    would be as large as this one and a second would follow."""
+    return supplier_prices(lines.repartition("l_partkey"))
+
+
+def _supplier_columns(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
 # -- position between suppliers ----------------------------------------------
 
 
 def supplier_position(lineitem: DataFrame, tiles: int = 4, rows: int = HOT_ROWS) -> DataFrame:
     """Rank, dense rank and tile of each supplier's price within the product."""
+    priced = F.col("price").isNotNull()
     return by_heat(
-        supplier_prices(lineitem).filter(F.col("price").isNotNull()),
+        _supplier_columns(lineitem),
         ["l_partkey"],
-        lambda df: _position_plain(df, tiles),
-        lambda df: _position_split(df, tiles),
+        lambda lines: _position_plain(_light_prices(lines).filter(priced), tiles),
+        lambda lines: _position_split(supplier_prices(lines).filter(priced), tiles),
         rows,
-        counted=lineitem,
     )
 
 
 def _position_plain(prices: DataFrame, tiles: int) -> DataFrame:
-    by_price = Window.partitionBy("l_partkey").orderBy("price")
-    return prices.select(
+    # The finer order comes first, so that one sort serves both windows.
+    product = Window.partitionBy("l_partkey")
+    tiled = prices.withColumn("tile", F.ntile(tiles).over(product.orderBy("price", "l_suppkey")))
+    by_price = product.orderBy("price")
+    return tiled.select(
         "l_partkey",
         "l_suppkey",
         "price",
         F.rank().over(by_price).alias("rank"),
         F.dense_rank().over(by_price).alias("dense_rank"),
-        F.ntile(tiles).over(by_price.orderBy("price", "l_suppkey")).alias("tile"),
+        "tile",
     )
 
 
@@ -106,7 +120,13 @@ def _tile(position: Column, total: Column, tiles: int) -> Column:
 
 def market_gap(lineitem: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
     """Each supplier's price against the mean of the others for the product."""
-    return by_heat(supplier_prices(lineitem), ["l_partkey"], _gap_plain, _gap_split, rows, counted=lineitem)
+    return by_heat(
+        _supplier_columns(lineitem),
+        ["l_partkey"],
+        lambda lines: _gap_plain(_light_prices(lines)),
+        lambda lines: _gap_split(supplier_prices(lines)),
+        rows,
+    )
 
 
 def _gap(df: DataFrame, total: Column, n: Column) -> DataFrame:
