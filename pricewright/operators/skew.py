@@ -46,8 +46,9 @@ def by_heat(
     Runs one count over the key columns. With no heavy key the result is just
     ``plain(df)``.
     """
-    hot = written(hot_keys(df, keys, rows), "hot-keys")
+    hot = hot_keys(df, keys, rows).persist()  # a lost block is counted again, to the same end
     if hot.isEmpty():
+        hot.unpersist()
         return plain(df)
     hot = F.broadcast(hot)
     light = join_on(df, hot, keys, "left_anti")
