@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from pricewright.functions import columns as C
 from pricewright.operators.facts import in_year, period_sales
@@ -56,7 +56,7 @@ def _fill(both: DataFrame, take: list[str], rows: int) -> DataFrame:
     return found.select("_left.*", *[F.col("_found")[c].alias(c) for c in take])
 
 
-def _in_order(*keys: str):
+def _in_order(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("_t", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
 
 
@@ -98,7 +98,7 @@ def last_view_by_number(events: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def _is_view():
+def _is_view() -> Column:
     return F.when(F.col("_kind") == 0, 1)
 
 
@@ -145,10 +145,13 @@ def views_then_purchases(events: DataFrame) -> DataFrame:
 PRICE_BANDS = [("under 100", 0.0), ("100-500", 100.0), ("500-1000", 500.0), ("1000-5000", 1000.0), ("5000 up", 5000.0)]
 
 
-def price_bands(spark) -> DataFrame:
+def price_bands(spark: SparkSession) -> DataFrame:
     edges = [low for _, low in PRICE_BANDS[1:]] + [float("inf")]
-    rows = [(name, low, high) for (name, low), high in zip(PRICE_BANDS, edges)]
-    return spark.createDataFrame(rows, "band string, low double, high double")
+    bands = [
+        F.struct(F.lit(name).alias("band"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+        for (name, low), high in zip(PRICE_BANDS, edges)
+    ]
+    return spark.range(1).select(F.inline(F.array(*bands)))
 
 
 def in_bands(lines: DataFrame, bands: DataFrame, top: int = 40) -> DataFrame:
@@ -158,7 +161,7 @@ def in_bands(lines: DataFrame, bands: DataFrame, top: int = 40) -> DataFrame:
     join with a check and not a nested loop over all bands. Prices from
     2 ** ``top`` up share the last cell.
     """
-    def cell(c):
+    def cell(c: Column) -> Column:
         return F.when(c < 1, 0).otherwise(F.least(F.floor(F.log2(c)) + 1, F.lit(top))).cast("int")
 
     last = F.when(F.col("high") == float("inf"), F.lit(top)).otherwise(cell(F.col("high")))
