@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load
-from . import quality_rules
+from . import edit_counts, quality_rules, url_filter
+from .fm_dedup import remove_repeated_words
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .parity_join import jaccard_components
+from .piece_codec import encode_documents
+from .suffix_dedup import remove_repeated_bytes
+from .tile_search import nearest
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +22,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small labelled table is a bounded sample of the URLs that a rule judges."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = url_filter.with_rule(pages).withColumnRenamed("rule_verdict", "verdict")
+    model = url_filter.train(labelled)
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -29,11 +53,44 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {
-    "op1_line_dedup": op1_line_dedup,
-    "op5_quality_rules": op5_quality_rules,
-    "op6_source_mixing": op6_source_mixing,
-}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_words(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    out = encode_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0")).withColumnRenamed("id", "vec_id")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Token counts of every text before and after three edits drawn from the row itself."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = edit_counts.build_trees(docs, ranks).withColumns(
+        {"n_before": F.col("n_tokens"), "edits": edit_counts.drawn_edits(F.col("text"), F.col("doc_id"))}
+    )
+    after = edit_counts.apply_edits(trees, ranks)
+    return after.select("doc_id", "n_before", "n_tokens", "n_matched", F.sha2("text", 256).alias("text_sha256"))
+
+
+_OPERATORS = (
+    op1_line_dedup,
+    op2_suffix_array_dedup,
+    op3_url_filter,
+    op4_ngram_jaccard_join,
+    op5_quality_rules,
+    op6_source_mixing,
+    op7_substring_dedup,
+    op8_sentencepiece,
+    op9_nearest_neighbours,
+    op10_token_counts,
+)
+QUERIES = {operator.__name__: operator for operator in _OPERATORS}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -77,7 +134,51 @@ m AS (
 judged AS (SELECT *, {' OR '.join(map(_rule_sql, quality_rules.BASE_RULES))} AS base_failed, {' OR '.join(map(_rule_sql, quality_rules.RULES))} AS broken FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT broken AS kept FROM judged"""
 
+BYTE_DEDUP_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, base, substring(h, 2 * base + 1, 2 * (512 + 49)) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 512)) AS base FROM b)),
+w AS (SELECT doc_id, base + i AS i, substring(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, base, h, unnest(range(0, least(512, len(h) // 2 - 49))) AS i FROM q)),
+o AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM w JOIN o USING (k) WHERE m < doc_id),
+n AS (SELECT doc_id, i, count(*) FILTER (step IS NULL OR step > 50) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM n GROUP BY doc_id, run),
+p AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev FROM r),
+k AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS tail,
+        string_agg(substring(h, (2 * prev + 1)::BIGINT, (2 * (s - prev))::BIGINT), '' ORDER BY s) AS head FROM p JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substring(h, (2 * tail + 1)::BIGINT) END)) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)"""
+
+WORD_DEDUP_SQL = f"""
+WITH b AS (SELECT doc_id, {_WORDS} AS l FROM documents),
+w AS (SELECT doc_id, i, array_to_string(l[i:i + 49], ' ') AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM b)),
+o AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k),
+g AS (SELECT doc_id, i FROM w JOIN o USING (k) WHERE m < doc_id),
+c AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS j FROM g) GROUP BY doc_id),
+x AS (SELECT doc_id, j, l[j] AS word FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM b)),
+d AS (SELECT doc_id, unnest(gone) AS j FROM c),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM x ANTI JOIN d USING (doc_id, j) GROUP BY doc_id)
+SELECT b.doc_id, len(l)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM b LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE b AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')")} AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(l) - 1), lambda i: array_to_string(l[i:i + 2], ' ')))) END AS sh FROM b),
+c AS (SELECT sh, min(doc_id) AS id, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+t AS (SELECT id, n, unnest(sh) AS g FROM c),
+i AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS sizes, count(*) AS common FROM t x JOIN t y ON x.g = y.g AND x.id < y.id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY ALL),
+e AS (SELECT a, b FROM i WHERE 100 * common >= 90 * (sizes - common)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(id, far) AS (SELECT id, id FROM c UNION SELECT reach.id, sym.b FROM reach JOIN sym ON reach.far = sym.a),
+least_id AS (SELECT id, min(far) AS component FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id
+FROM s LEFT JOIN c USING (sh) LEFT JOIN least_id ON c.id = least_id.id"""
+
 ORACLE = {
+    "op2_suffix_array_dedup": BYTE_DEDUP_SQL,
+    "op4_ngram_jaccard_join": JACCARD_SQL,
+    "op7_substring_dedup": WORD_DEDUP_SQL,
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op5_quality_rules": QUALITY_SQL,
 }

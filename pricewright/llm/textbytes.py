@@ -48,13 +48,19 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
+    """The first ``n`` powers, kept for the next call."""
+    have = _kept.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(n, base, np.uint64)
+        have[:1] = 1
         with np.errstate(over="ignore"):
-            np.multiply.accumulate(out, out=out)
-    return out
+            np.multiply.accumulate(have, out=have)
+        _kept[int(base)] = have
+    return have[:n]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
