@@ -31,7 +31,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 from .repeats import CHUNK_BYTES, chunk_ids, chunk_rows, heats, slices, unpacked, with_flags, written_bucketed
@@ -125,7 +125,12 @@ def sketch_keys(hashes: np.ndarray, bounds: np.ndarray, limits: Limits) -> tuple
     return np.concatenate(keys), np.concatenate(owners)
 
 
-CHUNK = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long, sizes binary, classes binary, keys binary, owners binary, n_keys long"
+def text_mark(text: str) -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+CHUNK = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long, sizes binary, classes binary, keys binary, owners binary, marks binary, n_keys long"
 
 
 def sketched(docs: DataFrame, id_col: str, text: str, words: int, limits: Limits) -> DataFrame:
@@ -147,17 +152,17 @@ def sketched(docs: DataFrame, id_col: str, text: str, words: int, limits: Limits
                     bounds,
                     zstd.compress(raw.tobytes()),
                 ]
-                more = [np.diff(of).astype(np.int64), set_hashes(hashes, of), keys, owners.astype(np.int32)]
+                more = [np.diff(of).astype(np.int64), set_hashes(hashes, of), keys, owners.astype(np.int32), part.column(2).to_numpy()]
                 as_bytes = [pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in (*blobs, *more)]
                 columns = [pa.array([next(numbers)], pa.int64()), *as_bytes[:4], pa.array([len(raw)], pa.int64()), *as_bytes[4:], pa.array([len(keys)], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CHUNK.split(", ")])
 
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), text_mark(text).alias("mark"))
     return written_bucketed(packed.mapInArrow(work, CHUNK), "chunk", "sketches")
 
 
 def documents_of(chunks: DataFrame) -> DataFrame:
-    """``chunk``, ``text`` (number in the chunk), ``id`` (may be null), ``size`` and ``class``."""
+    """``chunk``, ``text`` (number in the chunk), ``id`` (may be null), ``size``, ``class`` and ``mark``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunk_rows(batches):
@@ -166,11 +171,12 @@ def documents_of(chunks: DataFrame) -> DataFrame:
                 pa.array(np.full(len(known), chunk["chunk"]), pa.int64()),
                 pa.array(np.arange(len(known)), pa.int32()),
                 pa.array(np.frombuffer(chunk["ids"], np.int64), pa.int64(), mask=~known),
-                *[pa.array(np.frombuffer(chunk[k], np.int64), pa.int64()) for k in ("sizes", "classes")],
+                *[pa.array(np.frombuffer(chunk[k], np.int64), pa.int64()) for k in ("sizes", "classes", "marks")],
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "text", "id", "size", "class"])
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "text", "id", "size", "class", "mark"])
 
-    return chunks.select("chunk", "ids", "known", "sizes", "classes").mapInArrow(work, "chunk long, text int, id long, size long, class long")
+    schema = "chunk long, text int, id long, size long, class long, mark long"
+    return chunks.select("chunk", "ids", "known", "sizes", "classes", "marks").mapInArrow(work, schema)
 
 
 def shared_keys(chunks: DataFrame) -> DataFrame:
@@ -247,7 +253,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: ``id_col``, ``n_shingles``, ``class`` and ``component_id``, the smallest id reachable by links."""
+    """Per row: ``id_col``, ``n_shingles``, ``class`` and ``component_id``, the smallest id reachable by links.
+
+    ``first`` is true for one row of each component (the smallest id) and for rows with an
+    empty set; ``mark`` is the row's ``text_mark``.
+    """
     limits = Limits(percent)
     chunks = sketched(docs, id_col, text, words, limits)
     rows = written(documents_of(chunks), "sketched_documents")
@@ -287,8 +297,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     with_label = rows.withColumn("label", F.col("class"))
     if labels is not None:
         with_label = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    filled = with_label.where("size > 0")
-    least = filled.groupBy("label").agg(F.min(known).alias("least"))
+    # One row stands for a component: its smallest id, and the first such row.
+    place = F.struct(known.alias("id"), "chunk", "text")
+    least = with_label.where("size > 0").groupBy("label").agg(F.min(place).alias("least"))
     joined = with_label.join(least, "label", "left")
-    component = F.when(F.col("size") > 0, F.nullif(F.col("least"), F.lit(LAST_ID))).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "class", component.alias("component_id"))
+    component = F.when(F.col("size") > 0, F.nullif(F.col("least.id"), F.lit(LAST_ID))).otherwise(F.col("id"))
+    first = (F.col("size") == 0) | (F.col("least") == place)
+    return joined.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "class", component.alias("component_id"), first.alias("first"), "mark")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each component stays."""
+    rows = jaccard_components(docs, id_col, text, words, percent).where("first")
+    stay = rows.groupBy(F.col(id_col).alias("__of"), F.col("mark").alias("__mark")).agg(F.count("*").alias("__stay"))
+    number = F.row_number().over(Window.partitionBy("__of", "__mark").orderBy(F.lit(0)))
+    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__of")) & (text_mark(text) == F.col("__mark")))
+    return joined.where(F.col("__stay") > 0).withColumn("__number", number).where("__number <= __stay").select(*docs.columns)
