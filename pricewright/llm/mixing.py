@@ -30,7 +30,8 @@ from ..session import written
 from .quality_rules import words
 
 BLOCK_WORDS = 64
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 250_000
+BUCKET_GROUP = 4096
 SHARD_SLOTS = 4096
 SLOT_RANGE = 65_536
 ROUNDS = 16
@@ -101,6 +102,23 @@ class Mix:
         used = self.pieces.join(uses, ["source_no", "block"])
         return used.groupBy("__id", "__text_hash", "part").agg(F.sum(F.col("n_words") * F.col("uses")).alias("taken"))
 
+    def taken_texts(self, text: str = "text") -> DataFrame:
+        """The mix by documents: a row for each document and pass over its source.
+
+        ``text`` is what the pass takes of the document: the whole text as it
+        stands, or the words of the blocks that were drawn, one space between.
+        Columns of ``documents`` stay; ``pass`` is added.
+        """
+        keys = ["__id", "__text_hash", "part"]
+        used = self.pieces.join(self.slots.select("source_no", "block", "pass"), ["source_no", "block"])
+        spans = used.groupBy(*keys, "pass").agg(F.sort_array(F.collect_list(F.struct("first", F.col("n_words").cast("int").alias("n")))).alias("__spans"), F.sum("n_words").alias("__taken"))
+        spans = spans.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+        joined = self.documents.join(spans, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+        joined = joined.withColumn("__words", F.when(F.col("__taken") < F.col("size"), words(F.col(text))))
+        parts = F.flatten(F.transform("__spans", lambda x: F.slice(F.col("__words"), x["first"] + 1, x["n"])))
+        chosen = F.when(F.col("__words").isNull(), F.col(text)).otherwise(F.array_join(parts, " "))
+        return joined.withColumn(text, chosen).drop("__spans", "__taken", "__words", *[f"__of_{k}" for k in keys])
+
     def blocks(self, text: str = "text") -> DataFrame:
         """The mix itself: each slot with the words of its block."""
         spans = self.pieces.select("source_no", "block", "place", "__id", "__text_hash", "part", "first", "n_words")
@@ -151,10 +169,13 @@ def mix_sources(
     # Copies are laid out one after another, as parts 0, 1, ... of one entry.
     entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))).drop("copies")
     entries = written(entries.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "__id", "__text_hash"), F.lit(n_buckets))), "mix_entries")
-    earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = entries.groupBy("source_no", "bucket").agg(F.sum("size").alias("total")).select(
-        "source_no", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("bucket_start")
-    )
+    # Where buckets start: totals of groups of buckets, then of the buckets of a group.
+    totals = entries.groupBy("source_no", "bucket").agg(F.sum("size").alias("total")).withColumn("group", F.floor(F.col("bucket") / BUCKET_GROUP))
+    of_groups = Window.partitionBy("source_no").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    of_buckets = Window.partitionBy("source_no", "group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.groupBy("source_no", "group").agg(F.sum("total").alias("all")).select("source_no", "group", F.coalesce(F.sum("all").over(of_groups), F.lit(0)).alias("group_start"))
+    starts = totals.withColumn("within", F.coalesce(F.sum("total").over(of_buckets), F.lit(0))).join(groups, ["source_no", "group"])
+    starts = starts.select("source_no", "bucket", (F.col("group_start") + F.col("within")).alias("bucket_start"))
     inside = Window.partitionBy("source_no", "bucket").orderBy("__id", "__text_hash", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = entries.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_no", "bucket"])
     placed = placed.withColumn("start", F.col("bucket_start") + F.col("before"))
