@@ -16,11 +16,10 @@ def money(col: str | Column) -> Column:
 def summed_money(col: str | Column) -> Column:
     """Sum of an amount as a double, added up in whole cents.
 
-    Whole numbers add exactly in any order up to 2 ** 53, some 90 trillion
-    per group, and twice as fast as decimals. For totals beyond that use
-    ``money``.
+    Whole numbers add exactly in any order. A group's total may reach 2 ** 63
+    cents, beyond which the sum raises; ``money`` has no such end.
     """
-    return F.sum(F.rint(_c(col) * 100)) / 100
+    return F.sum(F.rint(_c(col) * 100).cast("bigint")) / 100
 
 
 def rate(col: str | Column) -> Column:

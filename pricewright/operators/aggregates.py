@@ -133,8 +133,14 @@ def price_elasticity(lines: DataFrame, by: str = "p_brand") -> DataFrame:
     )
 
 
+def years_of(df: DataFrame, date: str) -> list[int]:
+    """All years from the first to the last date; two numbers reach the driver."""
+    first, last = df.agg(F.year(F.min(date)), F.year(F.max(date))).first()
+    return list(range(first, last + 1)) if first is not None else []
+
+
 def price_matrix(lines: DataFrame, years: list[int], by: str = "p_brand") -> DataFrame:
-    """Mean price with one column per year; the years are given, not looked up."""
+    """Mean price with one column per year; see ``years_of``."""
     return (
         lines.groupBy(by)
         .pivot("year", years)

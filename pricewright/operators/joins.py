@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, fun
 
 from pricewright.functions import columns as C
 from pricewright.operators.facts import in_year, period_sales
-from pricewright.operators.skew import HOT_ROWS, by_heat, latest, with_carry
+from pricewright.operators.skew import HOT_ROWS, by_heat, in_cells, latest, with_carry
+from pricewright.session import written
 
 # -- as-of -----------------------------------------------------------------------
 #
@@ -66,12 +67,12 @@ def _fill_plain(both: DataFrame) -> DataFrame:
 
 
 def _fill_split(both: DataFrame) -> DataFrame:
-    """Within the minute by a window, across minutes by each minute's last row."""
-    minutes = both.withColumn("_minute", C.minute_number("_t"))
-    newest = F.max(F.when(F.col("_right").isNotNull(), F.struct("_t", "_tie", "_right")))
-    minutes = with_carry(minutes, ["_key"], "_minute", {"_carry": (newest, latest)})
-    here = F.last("_right", ignorenulls=True).over(_in_order("_key", "_minute"))
-    found = minutes.withColumn("_found", F.coalesce(here, F.col("_carry._right")))
+    """Within a cell by a window, across cells by each cell's last row."""
+    cells = in_cells(both, ["_key", "_t", "_kind", "_tie"], "_cell")
+    newest = F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct("_t", "_tie")))
+    cells = with_carry(cells, ["_key"], "_cell", {"_carry": (newest, latest)})
+    here = F.last("_right", ignorenulls=True).over(_in_order("_key", "_cell"))
+    found = cells.withColumn("_found", F.coalesce(here, F.col("_carry")))
     return found.filter(F.col("_kind") == 1).select("_left", "_found")
 
 
@@ -90,7 +91,7 @@ def last_view_by_number(events: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
         F.when(F.col("event_type") == "view", F.col("event_id")).alias("_tie"),
         "value",
     )
-    numbered = by_heat(both, ["_key"], _number_plain, _number_split, rows)
+    numbered = written(by_heat(both, ["_key"], _number_plain, _number_split, rows), "numbered")  # used twice
     views = numbered.filter(F.col("_kind") == 0).select("_key", "_number", F.col("_t").alias("view_ts"), F.col("value").alias("view_value"))
     bought = numbered.filter(F.col("_kind") == 1)
     return bought.join(views, ["_key", "_number"], "left").select(
@@ -107,10 +108,10 @@ def _number_plain(both: DataFrame) -> DataFrame:
 
 
 def _number_split(both: DataFrame) -> DataFrame:
-    minutes = both.withColumn("_minute", C.minute_number("_t"))
-    minutes = with_carry(minutes, ["_key"], "_minute", {"_views": (F.count(_is_view()), F.sum)})
-    here = F.count(_is_view()).over(_in_order("_key", "_minute"))
-    return minutes.withColumn("_number", F.coalesce("_views", F.lit(0)) + here).drop("_minute", "_views")
+    cells = in_cells(both, ["_key", "_t", "_kind", "_tie"], "_cell")
+    cells = with_carry(cells, ["_key"], "_cell", {"_views": (F.count(_is_view()), F.sum)})
+    here = F.count(_is_view()).over(_in_order("_key", "_cell"))
+    return cells.withColumn("_number", F.coalesce("_views", F.lit(0)) + here).drop("_cell", "_views")
 
 
 # -- intervals -----------------------------------------------------------------------
@@ -157,19 +158,19 @@ def price_bands(spark: SparkSession) -> DataFrame:
 def in_bands(lines: DataFrame, bands: DataFrame, top: int = 40) -> DataFrame:
     """Unit prices into the band with ``low <= price < high``.
 
-    Bands and prices meet on the power of two they lie in, so this is a hash
-    join with a check and not a nested loop over all bands. Prices from
-    2 ** ``top`` up share the last cell.
+    Bands and prices meet on the sign and power of two they lie in, so this is a
+    hash join with a check and not a nested loop over all bands. Amounts from
+    2 ** ``top`` up share the last cell of their sign. Only nulls, NaN and
+    prices in no band are left out.
     """
     def cell(c: Column) -> Column:
-        return F.when(c < 1, 0).otherwise(F.least(F.floor(F.log2(c)) + 1, F.lit(top))).cast("int")
+        power = F.when(F.abs(c) < 1, 0).otherwise(F.least(F.floor(F.log2(F.abs(c))) + 1, F.lit(top)))
+        return F.when(c == float("inf"), top).when(c == float("-inf"), -top).otherwise(F.when(c < 0, -power).otherwise(power)).cast("int")
 
-    last = F.when(F.col("high") == float("inf"), F.lit(top)).otherwise(cell(F.col("high")))
-    covered = bands.withColumn("_cell", F.explode(F.sequence(cell(F.col("low")), last)))
-    priced = lines.filter(F.col("unit_price") >= 0).withColumn("_cell", cell(F.col("unit_price")))
+    covered = bands.withColumn("_cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    priced = lines.filter(~F.isnan("unit_price")).withColumn("_cell", cell(F.col("unit_price")))
     inside = (F.col("low") <= F.col("unit_price")) & (F.col("unit_price") < F.col("high"))
-    # The band table is written out above: at most bands x (top + 1) rows.
-    return priced.join(F.broadcast(covered), "_cell").filter(inside).drop("_cell")
+    return priced.join(covered, "_cell").filter(inside).drop("_cell")
 
 
 # -- matching ----------------------------------------------------------------------------

@@ -15,26 +15,31 @@ from pricewright.operators.skew import join_on
 from pricewright.session import written
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], is_written: bool = False
+) -> DataFrame:
     """Interpolated quantiles per group, with the count of values ``n``.
 
-    ``probs`` maps an output column to a probability. Nulls are left out.
-    ``df`` is read twice: write it first when it is costly to compute.
+    ``probs`` maps an output column to a probability. Nulls are not counted; a
+    group of nulls has ``n`` 0 and null quantiles. The keys and values are read
+    twice, so they are written first, unless ``df`` is a written table already.
     """
     v = F.col(value) if isinstance(value, str) else value
-    values = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    values = values.withColumn("_cell", C.price_step("_v"))
+    values = df.select(*keys, v.cast("double").alias("_v"))
+    values = (values if is_written else written(values, "values")).withColumn("_cell", C.price_step("_v"))
 
     # Pass 1: at most a few thousand cells per group, however many rows.
-    cells = values.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = values.groupBy(*keys, "_cell").agg(F.count("_v").alias("_n"))
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")))
     cells = cells.withColumn("n", F.sum("_n").over(group))
-    wanted = cells.filter(_any_rank_in(probs, F.col("_first"), F.col("_first") + F.col("_n")))
+    wanted = cells.filter((F.col("n") == 0) | _any_rank_in(probs, F.col("_first"), F.col("_first") + F.col("_n")))
     # At most two cells per group and quantile; written, so that their true
     # size decides how they are joined.
     wanted = written(wanted.select(*keys, "_cell", "_first", "n"), "cells")
+    empty = wanted.filter("n = 0").select(*keys, "n", *[F.lit(None).cast("double").alias(name) for name in probs])
+    wanted = wanted.filter("n > 0")
 
     # Pass 2: the rows of the wanted cells, as counts per distinct value.
     cell = [*keys, "_cell"]
@@ -45,10 +50,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     start = F.col("_first") + F.col("_upto") - F.col("_m")
     placed = placed.withColumns({"_from": start, "_to": start + F.col("_m")})
     placed = placed.filter(_any_rank_in(probs, F.col("_from"), F.col("_to")))
-    return placed.groupBy(*keys).agg(
+    found = placed.groupBy(*keys).agg(
         F.max("n").alias("n"),
         *[F.sum(F.col("_v") * _weight(p, F.col("_from"), F.col("_to"))).alias(name) for name, p in probs.items()],
     )
+    return found.unionByName(empty)
 
 
 # A quantile lies between two ranks, counted from 0, and is the mean of the

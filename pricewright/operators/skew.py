@@ -46,16 +46,23 @@ def by_heat(
     Runs one count over the key columns. With no heavy key the result is just
     ``plain(df)``.
     """
-    hot = hot_keys(df, keys, rows).persist()  # a lost block is counted again, to the same end
+    hot = written(hot_keys(df, keys, rows), "hot-keys")  # its true size decides how it is joined
     if hot.isEmpty():
-        hot.unpersist()
         return plain(df)
-    hot = F.broadcast(hot)
     light = join_on(df, hot, keys, "left_anti")
     heavy = join_on(df, hot, keys, "left_semi")
     return plain(light).unionByName(split(heavy))
 
 
+def in_cells(df: DataFrame, order: list[Column | str], cell: str) -> DataFrame:
+    """Cut ``df`` into cells of about equal size that follow each other in ``order``.
+
+    The cells are range partitions, so rows of one key and instant are cut too
+    as long as ``order`` tells them apart. Written, so that the cut stays.
+    """
+    return written(df.repartitionByRange(*order).withColumn(cell, F.spark_partition_id()), "cells")
+
+
 def with_carry(
     df: DataFrame,
     keys: list[str],
@@ -83,9 +90,11 @@ def joined_back(df: DataFrame, stats: DataFrame, keys: list[str], count: str, ro
     """Join one-row-per-key ``stats`` to the rows they came from.
 
     ``count`` is the stats column with the rows per key. Heavy keys are few,
-    so their stats are broadcast and their rows stay where they are.
+    so their stats are small enough to be broadcast, and their rows then stay
+    where they are; should they not be, adaptive execution splits the join.
     """
-    hot = F.broadcast(stats.filter(F.col(count) > rows))
+    stats = written(stats, "stats")
+    hot = written(stats.filter(F.col(count) > rows), "hot-stats")
     light = join_on(df, hot, keys, "left_anti")
     return join_on(light, stats, keys).unionByName(join_on(df, hot, keys))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from pricewright.functions import columns as C
 from pricewright.operators.quantiles import exact_quantiles
-from pricewright.operators.skew import HOT_ROWS, by_heat, join_on, joined_back, running_total, with_carry
+from pricewright.operators.skew import HOT_ROWS, by_heat, in_cells, join_on, joined_back, running_total, with_carry
 from pricewright.session import written
 
 
@@ -17,13 +17,6 @@ def supplier_prices(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _light_prices(lines: DataFrame) -> DataFrame:
-    """The same for light products, in the partitioning the window after it
-    needs. Few lines share product and supplier, so a shuffle of partial sums
-    would be as large as this one and a second would follow."""
-    return supplier_prices(lines.repartition("l_partkey"))
-
-
 def _supplier_columns(lineitem: DataFrame) -> DataFrame:
     return lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
@@ -37,7 +30,7 @@ def supplier_position(lineitem: DataFrame, tiles: int = 4, rows: int = HOT_ROWS)
     return by_heat(
         _supplier_columns(lineitem),
         ["l_partkey"],
-        lambda lines: _position_plain(_light_prices(lines).filter(priced), tiles),
+        lambda lines: _position_plain(supplier_prices(lines).filter(priced), tiles),
         lambda lines: _position_split(supplier_prices(lines).filter(priced), tiles),
         rows,
     )
@@ -85,7 +78,7 @@ def _position_split(prices: DataFrame, tiles: int) -> DataFrame:
         (F.coalesce("_below_prices", zero) + F.row_number().over(inside)).alias("dense_rank"),
         "_n",
     )
-    totals = F.broadcast(prices.groupBy(*key).agg(F.count(F.lit(1)).alias("_total")))  # heavy products only
+    totals = prices.groupBy(*key).agg(F.count(F.lit(1)).alias("_total"))  # heavy products only
 
     tie = [*key, "price"]
     blocks = prices.withColumn("_block", F.floor(F.col("l_suppkey") / 100_000))
@@ -123,7 +116,7 @@ def market_gap(lineitem: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
     return by_heat(
         _supplier_columns(lineitem),
         ["l_partkey"],
-        lambda lines: _gap_plain(_light_prices(lines)),
+        lambda lines: _gap_plain(supplier_prices(lines)),
         lambda lines: _gap_split(supplier_prices(lines)),
         rows,
     )
@@ -145,7 +138,6 @@ def _gap_plain(prices: DataFrame) -> DataFrame:
 
 def _gap_split(prices: DataFrame) -> DataFrame:
     totals = prices.groupBy("l_partkey").agg(F.sum("price").alias("_total"), F.count("price").alias("_n"))
-    totals = F.broadcast(totals)  # heavy products only
     return _gap(join_on(prices, totals, ["l_partkey"]), F.col("_total"), F.col("_n"))
 
 
@@ -164,7 +156,6 @@ def _median_plain(lines: DataFrame) -> DataFrame:
 
 def _median_split(lines: DataFrame) -> DataFrame:
     medians = exact_quantiles(lines, ["l_partkey"], "unit_price", {"median_price": 0.5}).drop("n")
-    medians = F.broadcast(medians)  # heavy products only
     both = join_on(lines, medians, ["l_partkey"], "left")
     return both.withColumn("gap", F.col("unit_price") - F.col("median_price"))
 
@@ -234,12 +225,27 @@ def _activity_plain(both: DataFrame) -> DataFrame:
 
 
 def _activity_split(both: DataFrame) -> DataFrame:
-    cells = both.withColumn("_minute", C.minute_number("at"))
-    cells = with_carry(cells, ["user_id"], "_minute", {"_n0": (F.sum("n"), F.sum), "_v0": (F.sum("v"), F.sum)})
-    summed = _running(cells, Window.partitionBy("user_id", "_minute"))
-    for total, carried in (("events_1d", "_n0"), ("value_1d", "_v0")):
-        summed = summed.withColumn(total, F.col(total) + F.coalesce(carried, F.lit(0)))
-    return summed.drop("_minute", "_n0", "_v0")
+    """The same from one row per user and instant, cut into cells.
+
+    An event sees what came up to its instant less what was withdrawn before.
+    """
+    def of(sign: int, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("n") == sign, F.col(column))), F.lit(0))
+
+    instants = both.groupBy("user_id", "at").agg(
+        of(1, "n").alias("came_n"), of(-1, "n").alias("went_n"), of(1, "v").alias("came_v"), of(-1, "v").alias("went_v")
+    )
+    cells = in_cells(instants, ["user_id", "at"], "_cell")
+    whole = {f"_{x}0": (F.sum(F.col(f"came_{x}") + F.col(f"went_{x}")), F.sum) for x in "nv"}
+    cells = with_carry(cells, ["user_id"], "_cell", whole)
+    within = Window.partitionBy("user_id", "_cell").orderBy("at")
+    upto, before = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(x: str) -> Column:
+        return F.coalesce(f"_{x}0", F.lit(0)) + F.sum(f"came_{x}").over(upto) + F.coalesce(F.sum(f"went_{x}").over(before), F.lit(0))
+
+    summed = cells.select("user_id", "at", running("n").alias("events_1d"), running("v").alias("value_1d"))
+    return join_on(both.filter("n = 1"), summed, ["user_id", "at"])
 
 
 def _running(both: DataFrame, within: WindowSpec) -> DataFrame:
@@ -289,7 +295,8 @@ def top_prices(lines: DataFrame, by: str = "p_brand", k: int = 3) -> DataFrame:
     """The ``k`` highest unit prices per group.
 
     The filter becomes a group limit on the map side: a task sends at most
-    ``k`` rows per group, so a group's size does not matter.
+    ``k`` rows per group, so a group's size does not matter as long as ``k`` is at
+    most ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).
     """
     order = [F.desc("unit_price"), *[F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]]
     place = F.row_number().over(Window.partitionBy(by).orderBy(*order))

@@ -14,15 +14,16 @@ from pricewright.functions import columns as C, udfs
 from pricewright.operators import aggregates, cleaning, facts, indexes, joins, outliers, quantiles, sets, windows
 from pricewright.session import fresh_path
 from pricewright.sources.sinks import write_by_year
-from pricewright.sources.tables import load, load_stream
+from pricewright.sources.tables import load, load_stream, stream_path
 from pricewright.streaming import activity
-from pricewright.streaming.run import StreamTable, stream_table
+from pricewright.streaming.run import SLICE_ROWS, StreamTable, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-YEARS = list(range(1995, 2002))
+# A key with more rows is heavy in the ``*_split`` queries, which test the split forms.
+FEW_ROWS = 20
 QUARTILES = {"p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
 
 
@@ -67,10 +68,10 @@ def price_fact(spark, sf_dir):
 
 @query
 def written_by_year(spark, sf_dir):
-    """Write by year, read back the years up to 1997."""
+    """Write by year and read all of it back."""
     path = fresh_path(spark, "by-year")
     write_by_year(load(spark, sf_dir, "lineitem"), path)
-    back = spark.read.parquet(path).filter(F.col("y") <= 1997)
+    back = spark.read.parquet(path)
     out = back.groupBy("y").agg(F.count(F.lit(1)).alias("lines"), F.sum(C.money("l_extendedprice")).alias("amount"))
     return doubles(longs(out, "y"), "amount")
 
@@ -102,12 +103,27 @@ def price_quantiles(spark, sf_dir):
 
 @query
 def price_quantiles_approx(spark, sf_dir):
-    return aggregates.approx_quantiles(_branded(spark, sf_dir), "p_brand", QUARTILES)
+    """Whether each estimate's rank is as near as promised."""
+    accuracy, lines = 1000, _branded(spark, sf_dir).select("p_brand", "unit_price")
+    estimates = aggregates.approx_quantiles(lines, "p_brand", QUARTILES, accuracy)
+    ranks = lines.join(estimates, "p_brand").groupBy("p_brand").agg(
+        F.count("unit_price").alias("n"),
+        *[F.count_if(F.col("unit_price") < F.col(q)).alias(f"{q}_below") for q in QUARTILES],
+        *[F.count_if(F.col("unit_price") <= F.col(q)).alias(f"{q}_upto") for q in QUARTILES],
+    )
+    slack = F.col("n") / accuracy + 1
+    near = [(F.col(f"{q}_below") - slack <= p * F.col("n")) & (p * F.col("n") <= F.col(f"{q}_upto") + slack) for q, p in QUARTILES.items()]
+    return ranks.select("p_brand", "n", *[ok.alias(f"{q}_near") for q, ok in zip(QUARTILES, near, strict=True)])
 
 
 @query
 def products_approx(spark, sf_dir):
-    return aggregates.approx_products(_branded(spark, sf_dir), "p_brand")
+    """The exact count, and whether the estimate is within three deviations."""
+    rsd, lines = 0.02, _branded(spark, sf_dir).select("p_brand", "l_partkey")
+    exact = lines.groupBy("p_brand").agg(F.count_distinct("l_partkey").alias("exact"))
+    both = exact.join(aggregates.approx_products(lines, "p_brand", rsd), "p_brand")
+    near = F.abs(F.col("products") - F.col("exact")) <= 3 * rsd * F.col("exact") + 1
+    return both.select("p_brand", F.col("exact").alias("products"), near.alias("near"))
 
 
 @query
@@ -161,18 +177,21 @@ def price_elasticity(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir):
+    """The matrix over all years of the table, and those years."""
     lines = _branded(spark, sf_dir).withColumn("year", F.year("l_shipdate"))
-    return aggregates.price_matrix(lines, YEARS)
+    years = aggregates.years_of(load(spark, sf_dir, "lineitem"), "l_shipdate")
+    return aggregates.price_matrix(lines, years), years
 
 
 @query
 def price_matrix(spark, sf_dir):
-    return rounded(_matrix(spark, sf_dir), *[f"y{y}" for y in YEARS])
+    matrix, years = _matrix(spark, sf_dir)
+    return rounded(matrix, *[f"y{y}" for y in years])
 
 
 @query
 def price_list(spark, sf_dir):
-    return rounded(longs(aggregates.price_list(_matrix(spark, sf_dir), YEARS), "year"), "mean_price")
+    return rounded(longs(aggregates.price_list(*_matrix(spark, sf_dir)), "year"), "mean_price")
 
 
 # -- joins ---------------------------------------------------------------------------
@@ -281,6 +300,39 @@ def top_prices(spark, sf_dir):
     return longs(windows.top_prices(_branded(spark, sf_dir)), "place", "l_linenumber")
 
 
+# -- the forms for heavy keys, with keys that count as heavy early -----------------------
+
+
+@query
+def asof_last_view_split(spark, sf_dir):
+    return joins.last_view_before_purchase(load(spark, sf_dir, "events"), FEW_ROWS)
+
+
+@query
+def asof_by_number_split(spark, sf_dir):
+    return joins.last_view_by_number(load(spark, sf_dir, "events"), FEW_ROWS)
+
+
+@query
+def supplier_position_split(spark, sf_dir):
+    return longs(windows.supplier_position(load(spark, sf_dir, "lineitem"), rows=FEW_ROWS), "rank", "dense_rank", "tile")
+
+
+@query
+def market_gap_split(spark, sf_dir):
+    return rounded(windows.market_gap(load(spark, sf_dir, "lineitem"), FEW_ROWS), "market_price", "gap", places=4)
+
+
+@query
+def median_gap_split(spark, sf_dir):
+    return rounded(longs(windows.median_gap(load(spark, sf_dir, "lineitem"), FEW_ROWS), "l_linenumber"), "median_price", "gap", places=4)
+
+
+@query
+def rolling_activity_split(spark, sf_dir):
+    return doubles(longs(windows.rolling_activity(load(spark, sf_dir, "events"), FEW_ROWS), "events_1d"), "value_1d")
+
+
 # -- indexes, outliers, sets -------------------------------------------------------------
 
 
@@ -380,70 +432,82 @@ def json_functions(spark, sf_dir):
 # -- streams -----------------------------------------------------------------------------------
 
 
-def _stream(spark, sf_dir, max_bytes=64 << 30):
-    return load_stream(spark, sf_dir, "events", "events.parquet", max_bytes)
+def _emitted(spark, sf_dir, label: str, build: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
+    """What ``build``, given a maker of event streams, emits over the stored events."""
+    return stream_table(
+        spark,
+        stream_path(sf_dir, "events"),
+        load(spark, sf_dir, "events"),
+        lambda folder: build(lambda: load_stream(spark, folder, "events")),
+        label,
+        SLICE_ROWS,
+    )
 
 
 def _clock(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def _windows(stream: DataFrame, label: str) -> DataFrame:
-    return doubles(_clock(stream_table(stream, label), "window_start", "window_end"), "value")
+def _windows(spark, sf_dir, label: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    emitted = _emitted(spark, sf_dir, label, lambda events: operator(events()))
+    return doubles(_clock(emitted, "window_start", "window_end"), "value")
 
 
 @query
 def stream_tumbling(spark, sf_dir):
-    return _windows(activity.tumbling_activity(_stream(spark, sf_dir)), "tumbling")
+    return _windows(spark, sf_dir, "tumbling", activity.tumbling_activity)
 
 
 @query
 def stream_sliding(spark, sf_dir):
-    return _windows(activity.sliding_activity(_stream(spark, sf_dir)), "sliding")
+    return _windows(spark, sf_dir, "sliding", activity.sliding_activity)
 
 
 @query
 def stream_sessions(spark, sf_dir):
-    return _windows(activity.session_activity(_stream(spark, sf_dir)), "sessions")
+    return _windows(spark, sf_dir, "sessions", activity.session_activity)
 
 
 @query
 def stream_without_duplicates(spark, sf_dir):
     """The events sent twice, kept once."""
-    twice = _stream(spark, sf_dir).unionByName(_stream(spark, sf_dir))
-    kept = activity.without_duplicates(twice).select("event_id", "ts", "user_id", "event_type", "value")
-    return _clock(stream_table(kept, "distinct-events"), "ts")
+
+    def kept(events):
+        distinct = activity.without_duplicates(events().unionByName(events()))
+        return distinct.select("event_id", "ts", "user_id", "event_type", "value")
+
+    return _clock(_emitted(spark, sf_dir, "distinct-events", kept), "ts")
 
 
 @query
 def stream_interval_join(spark, sf_dir):
-    pairs = activity.view_purchase_pairs(_stream(spark, sf_dir), _stream(spark, sf_dir))
-    return _clock(stream_table(pairs, "pairs"), "view_ts", "purchase_ts")
+    pairs = _emitted(spark, sf_dir, "pairs", lambda events: activity.view_purchase_pairs(events(), events()))
+    return _clock(pairs, "view_ts", "purchase_ts")
 
 
 @query
 def stream_previous_value(spark, sf_dir):
-    return _clock(stream_table(activity.previous_value(_stream(spark, sf_dir, 1 << 30)), "previous"), "ts")
+    return _clock(_emitted(spark, sf_dir, "previous", lambda events: activity.previous_value(events())), "ts")
 
 
 @query
 def stream_late_rows(spark, sf_dir):
     """Events from 15 January 2024 arrive first, the earlier ones too late."""
     events = load(spark, sf_dir, "events")
-    folder = fresh_path(spark, "arrivals")
     late = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
-    table = StreamTable(spark, "late-rows")
+    table = StreamTable(spark, "late-rows", expect_late=True)
     for arrived in (events.filter(~late), events.filter(late)):
-        arrived.write.mode("append").parquet(folder)
-        table.append(activity.without_duplicates(load_stream(spark, folder, "events")))
-    counts = {"input_rows": table.input_rows, "dropped_rows": table.dropped_rows}
-    return spark.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()])
+        table.arrive(arrived, lambda: activity.without_duplicates(load_stream(spark, table.arrivals, "events")), closes=F.col("ts"))
+    came = spark.read.schema(events.schema).parquet(table.arrivals)
+    dropped = spark.read.schema(events.schema).parquet(table.late_path)
+    both = came.select(F.lit(1).alias("came"), F.lit(0).alias("late")).unionByName(dropped.select(F.lit(0).alias("came"), F.lit(1).alias("late")))
+    return both.agg(F.sum("came").cast("bigint").alias("input_rows"), F.sum("late").cast("bigint").alias("dropped_rows"))
 
 
 @query
 def stream_batch_sink(spark, sf_dir):
     """A stateless stream into one directory per batch."""
-    stream = _stream(spark, sf_dir).filter(F.col("event_type") == "purchase").select("event_id", "ts", "user_id", "value")
+    stream = load_stream(spark, stream_path(sf_dir, "events")).select("event_id", "ts", "user_id", "event_type", "value")
     return _clock(StreamTable(spark, "batches").append_batches(stream).read(stream).select(*stream.columns), "ts")
 
 

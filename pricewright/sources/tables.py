@@ -31,22 +31,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_stream(
-    spark: SparkSession,
-    folder: str,
-    name: str = "events",
-    files: str | None = None,
-    max_bytes: int = 64 << 30,
-) -> DataFrame:
+def stream_path(sf_dir: str, name: str) -> str:
+    """A pattern that a stream can read whether the table is a file or a folder of files."""
+    return f"{sf_dir}/{name}.parque[t]"
+
+
+def load_stream(spark: SparkSession, folder: str, name: str = "events", max_files: int | None = None) -> DataFrame:
     """Read a folder of parquet files of one table as a stream.
 
     Watermarks need ``timestamp``, so the wall-clock columns are cast to it;
-    the session time zone should be UTC. ``max_bytes`` bounds a micro-batch
-    and with it what one stateful task can be handed at a time.
+    the session time zone should be UTC. What has arrived is one batch, unless
+    ``max_files`` splits it: then files must arrive in the order of their times.
     """
-    reader = spark.readStream.schema(SCHEMAS[name]).option("maxBytesPerTrigger", max_bytes)
-    if files:
-        reader = reader.option("pathGlobFilter", files)
+    reader = spark.readStream.schema(SCHEMAS[name])
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     df = reader.parquet(folder)
     clocks = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in clocks})

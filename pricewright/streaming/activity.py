@@ -24,8 +24,6 @@ def sliding_activity(events: DataFrame, size: str = "1 hour", step: str = "30 mi
 
 def session_activity(events: DataFrame, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
     """Sessions per user; two events exactly ``gap`` apart share one."""
-    # Shrink a busy user's events to sessions before they are shuffled.
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return _windowed(events, F.session_window("ts", gap), delay, "user_id")
 
 
@@ -72,31 +70,52 @@ def view_purchase_pairs(views: DataFrame, purchases: DataFrame, delay: str = DEL
     return v.join(p, near).select("user_id", "view_id", "view_ts", "view_value", "purchase_id", "purchase_ts", "purchase_value")
 
 
-def previous_value(events: DataFrame) -> DataFrame:
+def previous_value(events: DataFrame, delay: str = DELAY, forget_days: int = 400) -> DataFrame:
     """Each event with its user's value before it, kept in state.
 
-    Batches are taken to arrive in time order. A user's rows of one batch are
-    sorted together; the stream reader's ``max_bytes`` bounds a batch.
+    Events wait in the state until the watermark has passed them and leave in
+    the order of their time, so files may come in any order within ``delay``.
+    A user's last value is forgotten when ``forget_days`` pass without an event.
+    A user's state is one group: it holds the events of ``delay`` and those of
+    the batch at hand.
     """
 
     # Defined here so that it reaches the workers by value.
     def previous(key, batches, state):
-        rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        rows["previous"] = rows["value"].shift()
-        if state.exists and state.get[0] is not None:
-            rows.iloc[0, rows.columns.get_loc("previous")] = state.get[0]
-        last = rows["value"].iloc[-1]
-        state.update((None if pd.isna(last) else float(last),))
-        yield rows[["event_id", "user_id", "ts", "value", "previous"]]
+        ids, times, values, last = (list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in state.get) if state.exists else ([], [], [], None)
+        if not state.hasTimedOut:
+            for rows in batches:
+                ids += rows["event_id"].tolist()
+                times += rows["ts"].astype("datetime64[us]").astype("int64").tolist()
+                values += [None if pd.isna(v) else v for v in rows["value"].tolist()]
+        passed = state.getCurrentWatermarkMs()
+        held = sorted(zip(times, ids, values, strict=True), key=lambda x: x[:2])
+        out, waiting = [], []
+        for at, event, value in held:
+            if at <= passed * 1000:
+                out.append((event, key[0], pd.Timestamp(at, unit="us"), value, last))
+                last = value
+            else:
+                waiting.append((at, event, value))
+        if held or not state.hasTimedOut:
+            times, ids, values = ([x[i] for x in waiting] for i in range(3))
+            state.update((ids, times, values, last))
+            # Once more when the first waiting event is passed, or to forget.
+            state.setTimeoutTimestamp(max(passed + 1, -(-times[0] // 1000)) if times else passed + forget_days * 86_400_000)
+        else:
+            state.remove()
+        frame = pd.DataFrame(out, columns=["event_id", "user_id", "ts", "value", "previous"])
+        yield frame.astype({"event_id": "int64", "value": "float64", "previous": "float64"})
 
     return (
-        events.select("event_id", "user_id", "ts", "value")
+        events.withWatermark("ts", delay)
+        .select("event_id", "user_id", "ts", "value")
         .groupBy("user_id")
         .applyInPandasWithState(
             previous,
             "event_id bigint, user_id bigint, ts timestamp, value double, previous double",
-            "value double",
+            "ids array<bigint>, times array<bigint>, waiting array<double>, last double",
             "append",
-            "NoTimeout",
+            "EventTimeTimeout",
         )
     )

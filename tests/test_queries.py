@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
-
-SQL = entry.oracle_sql()
+from pricewright.plans.catalog import QUERIES
+from pricewright.plans.oracle import ORACLE as SQL
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +22,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 7
 
 
-def test_only_estimates_lack_sql():
-    assert set(entry.queries()) - set(SQL) == {"price_quantiles_approx", "products_approx"}
-    assert set(SQL) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())

@@ -169,3 +169,25 @@ def test_python_functions_agree_with_built_ins(lines, lineitem):
     days = facts.daily_prices(lineitem)
     both = median_daily_price(days).join(days.groupBy("l_partkey").agg(F.median("price").alias("m")), "l_partkey")
     assert both.filter(F.abs(F.col("median_price") - F.col("m")) > 1e-9).isEmpty()
+
+
+def test_money_past_2_53_cents(spark):
+    df = spark.range(20_000).select(F.lit(9_999_999_999_999.37).alias("x"))
+    got, want = df.agg(C.summed_money("x"), F.sum(F.col("x").cast("decimal(18,2)")).cast("double")).first()
+    assert got == want
+
+
+def test_bands_below_zero(spark):
+    bands = spark.createDataFrame([("loss", -100.0, 0.0), ("deep", float("-inf"), -100.0), ("gain", 0.0, float("inf"))], "band string, low double, high double")
+    prices = [-1e9, -100.1, -100.0, -5.0, -0.5, 0.0, 3.0]
+    df = spark.createDataFrame([(p,) for p in prices], "unit_price double")
+    got = [r["band"] for r in joins.in_bands(df, bands).orderBy("unit_price").collect()]
+    assert got == ["deep"] * 2 + ["loss"] * 3 + ["gain"] * 2
+
+
+def test_years_follow_the_data(spark):
+    lines = spark.createDataFrame([("b", 2.0, dt.datetime(y, 5, 1)) for y in (1999, 2002)], "p_brand string, unit_price double, l_shipdate timestamp_ntz")
+    years = aggregates.years_of(lines, "l_shipdate")
+    matrix = aggregates.price_matrix(lines.withColumn("year", F.year("l_shipdate")), years)
+    assert matrix.columns == ["p_brand", "y1999", "y2000", "y2001", "y2002"]
+    assert aggregates.price_list(matrix, years).filter("mean_price is not null").count() == 2

@@ -148,7 +148,7 @@ def test_exact_quantiles(spark):
     rows += [("near", 100 + rng.random() * 1e-3) for _ in range(200)] + [("near", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = {"low": 0.0, "q1": 0.25, "mid": 0.5, "p90": 0.9, "high": 1.0}
-    same(group_quantiles(df.filter("v is not null"), ["k"], "v", probs), exact_quantiles(df, ["k"], "v", probs))
+    same(group_quantiles(df, ["k"], "v", probs), exact_quantiles(df, ["k"], "v", probs))
 
 
 def test_price_step_keeps_order(spark):
@@ -165,3 +165,29 @@ def test_rolling_activity_against_a_range_frame(lopsided_events):
     value = "coalesce(sum(cast(value as decimal(18,2))) over " + frame + ", 0) as value_1d"
     want = lopsided_events.selectExpr("event_id", "user_id", "ts", f"count(1) over {frame} as events_1d", value)
     same(want, windows.rolling_activity(lopsided_events, NEVER))
+
+
+@pytest.mark.parametrize("op", [windows.rolling_activity, joins.last_view_before_purchase, joins.last_view_by_number])
+def test_one_busy_user_in_one_instant(spark, op):
+    """With times of day grain a key's rows are cut all the same."""
+    rows = [(i, T0, 1, "view" if i % 2 else "purchase", float(i), None) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    same(op(events, rows=NEVER), op(events, rows=10))
+
+
+def test_cells_cut_an_instant(spark):
+    rows = [(1, T0, i) for i in range(1000)]
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # else a small table is one partition
+    spark.conf.set(merge, "false")
+    try:
+        cells = skew.in_cells(spark.createDataFrame(rows, "k long, t timestamp_ntz, i long"), ["k", "t", "i"], "cell")
+    finally:
+        spark.conf.set(merge, "true")
+    assert cells.select("cell").distinct().count() > 1
+
+
+def test_asof_join_with_a_map_column(spark):
+    left = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=m)) for m in range(50)], "k long, t timestamp_ntz")
+    right = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=2 * m), m, {"m": m}) for m in range(20)], "k long, t timestamp_ntz, i long, props map<string,int>")
+    plain, split = (joins.asof_join(left, right, "k", "t", "t", ["props"], "i", rows=n).selectExpr("t", "last_props['m'] as m") for n in (NEVER, 5))
+    same(plain, split)

@@ -5,11 +5,15 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from compare import connect, differences
+from pricewright.plans import catalog
+from pricewright.plans.catalog import QUERIES
+from pricewright.plans.oracle import ORACLE
 from pricewright.session import fresh_path
 from pricewright.sources.sinks import write_batch, write_by_year
 from pricewright.sources.tables import load, load_stream
 from pricewright.streaming import activity
-from pricewright.streaming.run import StreamTable
+from pricewright.streaming.run import LateRowsError, StreamTable
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 END = dt.datetime(2030, 1, 1)
@@ -60,20 +64,46 @@ def test_session_edge(spark):
 
 
 def test_late_rows_are_dropped_and_counted(spark):
-    folder = fresh_path(spark, "arrivals")
-    table = StreamTable(spark, "t")
+    table = StreamTable(spark, "t", expect_late=True)
     t = dt.datetime(2024, 1, 1, 12)
-    stream = lambda: activity.tumbling_activity(load_stream(spark, folder))
-    arrive(spark, folder, [(1, t, 1, "view", 1.0, None)])
-    table.append(stream())
-    arrive(spark, folder, [(2, t - dt.timedelta(hours=3), 1, "view", 1.0, None), (3, t - dt.timedelta(minutes=5), 1, "view", 1.0, None)])
-    table.append(stream())
-    arrive(spark, folder, closing(spark))
-    got = table.append(stream()).read(stream()).orderBy("window_start").collect()
-    assert (table.input_rows, table.dropped_rows) == (4, 1)
+    stream = lambda: activity.tumbling_activity(load_stream(spark, table.arrivals))
+    closes = F.window(F.col("ts").cast("timestamp"), "1 hour")["end"]
+    come = lambda rows: table.arrive(spark.createDataFrame(rows, SCHEMA), stream, closes)
+    come([(1, t, 1, "view", 1.0, None)])
+    late = [(10 + i, t - dt.timedelta(hours=3), 1, "view", 1.0, None) for i in range(10)]
+    come([*late, (3, t - dt.timedelta(minutes=5), 1, "view", 1.0, None)])
+    come(closing(spark))
+    got = table.read(stream()).orderBy("window_start").collect()
+    assert (table.input_rows, table.late_rows) == (13, 10)
+    assert spark.read.parquet(table.late_path).count() == 10
     assert [(r["window_start"].hour, r["events"]) for r in got] == [(11, 1), (12, 1)]
 
 
+def test_unexpected_late_rows_raise(spark):
+    table = StreamTable(spark, "t")
+    t = dt.datetime(2024, 1, 1, 12)
+    stream = lambda: activity.tumbling_activity(load_stream(spark, table.arrivals))
+    table.arrive(spark.createDataFrame([(1, t, 1, "view", 1.0, None)], SCHEMA), stream)
+    with pytest.raises(LateRowsError):
+        table.arrive(spark.createDataFrame([(2, t - dt.timedelta(hours=3), 1, "view", 1.0, None)], SCHEMA), stream)
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, sf_dir, tmp_path_factory):
+    """The tables with events as a folder of eight files in no order of time."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    load(spark, sf_dir, "events").repartition(8, F.hash("event_id")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("rows", [1 << 40, 150])
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("stream_")))
+def test_streams_over_many_files(spark, sf_dir, many_files, monkeypatch, name, rows):
+    """Also in many slices, the same result as SQL over the one file."""
+    monkeypatch.setattr(catalog, "SLICE_ROWS", rows)
+    assert differences(QUERIES[name](spark, many_files), connect(sf_dir), ORACLE[name]) == []
+
+
 def test_duplicates_across_batches(spark):
     folder = fresh_path(spark, "arrivals")
     table = StreamTable(spark, "t")
@@ -97,15 +127,18 @@ def test_interval_join_equals_batch(spark, sf_dir, arrivals):
 
 
 def test_previous_value_across_batches(spark):
+    """Rows of one batch in any order; the last ones wait for the watermark."""
     folder = fresh_path(spark, "arrivals")
     table = StreamTable(spark, "t")
     t = dt.datetime(2024, 1, 1, 12)
     stream = lambda: activity.previous_value(load_stream(spark, folder))
-    arrive(spark, folder, [(1, t, 1, "view", 1.0, None), (2, t + dt.timedelta(minutes=1), 1, "view", 2.0, None), (3, t, 2, "view", 9.0, None)])
+    arrive(spark, folder, [(2, t + dt.timedelta(minutes=1), 1, "view", 2.0, None), (1, t, 1, "view", 1.0, None), (3, t, 2, "view", 9.0, None)])
+    table.append(stream())
+    arrive(spark, folder, [(5, t + dt.timedelta(minutes=3), 1, "view", None, None), (4, t + dt.timedelta(minutes=2), 1, "view", 3.0, None)])
     table.append(stream())
-    arrive(spark, folder, [(4, t + dt.timedelta(minutes=2), 1, "view", 3.0, None)])
+    arrive(spark, folder, [(6, t + dt.timedelta(minutes=4), 1, "view", 5.0, None), *closing(spark)])
     got = table.append(stream()).read(stream())
-    assert {r["event_id"]: r["previous"] for r in got.collect()} == {1: None, 2: 1.0, 3: None, 4: 2.0}
+    assert {r["event_id"]: r["previous"] for r in got.collect()} == {1: None, 2: 1.0, 3: None, 4: 2.0, 5: 3.0, 6: None}
 
 
 def test_a_replayed_batch_counts_once(spark):
