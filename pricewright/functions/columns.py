@@ -16,10 +16,13 @@ def money(col: str | Column) -> Column:
 def summed_money(col: str | Column) -> Column:
     """Sum of an amount as a double, added up in whole cents.
 
-    Whole numbers add exactly in any order. A group's total may reach 2 ** 63
-    cents, beyond which the sum raises; ``money`` has no such end.
+    Whole numbers add exactly in any order. Their high and low bits are added
+    apart, so that no group in sight outgrows a sum (one that did would raise).
     """
-    return F.sum(F.rint(_c(col) * 100).cast("bigint")) / 100
+    cents = F.rint(_c(col) * 100).cast("bigint")
+    high = F.sum(F.shiftright(cents, 20)).cast("decimal(20,0)")
+    low = F.sum(cents.bitwiseAND(F.lit((1 << 20) - 1).cast("bigint")))
+    return (high * F.lit(1 << 20) + low).cast("double") / 100
 
 
 def rate(col: str | Column) -> Column:
