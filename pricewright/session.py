@@ -22,11 +22,22 @@ DEFAULTS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+PARTITION_BYTES = 128 << 20
+
 _local_dirs: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+
 
+def build_session(app: str = "pricewright", master: str | None = None, input_bytes: int = 0, **conf) -> SparkSession:
+    """A session with the defaults above; ``conf`` keys use ``__`` for dots.
 
-def build_session(app: str = "pricewright", master: str | None = None, **conf) -> SparkSession:
-    """A session with the defaults above; ``conf`` keys use ``__`` for dots."""
+    ``input_bytes`` is about what the largest query reads: shuffles get a
+    partition for each 128 MB of it (200 at least), which adaptive execution
+    merges where less is shuffled. On a cluster, give it or set the number
+    of shuffle partitions.
+    """
+    if input_bytes:
+        conf = {"spark__sql__shuffle__partitions": max(200, -(-input_bytes // PARTITION_BYTES))} | conf
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -56,7 +67,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Delete what this session wrote under ``fresh_path``; returns how many paths were there.
+
+    DataFrames that read those paths must be done with.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return sum(bool(p.getFileSystem(conf).delete(p, True)) for p in map(hadoop.Path, paths))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -31,3 +31,15 @@ def test_written_tables_keep_schema_and_rows(spark):
     back = session.written(df, "t")
     assert back.dtypes == df.dtypes
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_intermediates_are_removed(spark, tmp_path):
+    import os
+
+    made = session._made.get(spark.sparkContext.applicationId, [])
+    before, session._made[spark.sparkContext.applicationId] = list(made), []
+    path = session.fresh_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path)
+    assert session.remove_intermediates(spark) == 1 and not os.path.isdir(path)
+    session._made[spark.sparkContext.applicationId] = before
