@@ -20,6 +20,7 @@ from .suffix_arrays import common_prefixes, suffix_array
 
 WINDOW = 50
 GRAM = 12
+SHARD_BYTES = 10_000_000
 _LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
@@ -100,13 +101,12 @@ class FMIndex:
 
 
 def solver(window: int):
-    def solve(texts: list[bytes], n_windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        sizes = np.array([len(t) for t in texts])
-        units = word_units(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(sizes))))
+    def solve(raw: np.ndarray, bounds: np.ndarray, n_windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        units = word_units(raw, bounds)
         values = np.unique(units.values, return_inverse=True)[1].reshape(-1) + 1
         index = FMIndex(values, units.bounds, window)
         lengths, classes = index.match(values, units.bounds)
-        segment = np.repeat(np.arange(len(texts)), np.diff(units.bounds))
+        segment = np.repeat(np.arange(len(owners)), np.diff(units.bounds))
         is_window = lengths >= window
         least = np.full(index.classes[-1] + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, classes[is_window], owners[segment[is_window]])
@@ -115,7 +115,7 @@ def solver(window: int):
     return solve
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, **sizes) -> DataFrame:
     """Per row: the id, ``n_words``, ``n_removed`` and ``kept``, the words that stay with one space between."""
-    out = remove_repeats(docs, word_units, window, gram, solver(window), True, id_col, text, **sizes)
+    out = remove_repeats(docs, word_units, window, gram, solver(window), True, id_col, text, shard_bytes=shard_bytes, **sizes)
     return out.select(id_col, F.col("n_units").alias("n_words"), "n_removed", F.col("kept").cast("string").alias("kept"))

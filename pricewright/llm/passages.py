@@ -31,20 +31,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from numpy.lib.recfunctions import repack_fields as packed
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .repeats import chunk_rows, heats, packed_texts, unpacked, with_flags
+from .repeats import chunk_rows, heats, known_ids, packed_texts, unpacked, with_flags
 from .textbytes import byte_values, gram_hashes, mix, prefix_sums, sliding_min, span_hashes, words_of
 
-SHARD_SEGMENTS = 60_000
+# Text per shard; of it, a shard gets the segments that may repeat.
+SHARD_BYTES = 3_500_000
+# Longer runs (of periodic text) are cut, so that no segment is much longer than others.
+MOST_WINDOWS = 128
 # Halvings of an anchor's chunk count that one shard takes.
 SHARD_HEAT = 7
 RUN = "chunk long, runs binary"
 
-# solve(texts, n_windows, owners) -> smallest owner of every window, in order.
-Solve = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+# solve(bytes, bounds, n_windows, owners) -> smallest owner of every window, in order.
+Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -87,15 +91,19 @@ def segments_of(units: Units, sums: np.ndarray, window: int, gram: int) -> Segme
     edge = np.flatnonzero(np.concatenate((new | ~whole, [True]))) if n else np.zeros(1, np.int64)
     first = edge[:-1][whole[edge[:-1]]]
     stop = edge[1:][whole[edge[:-1]]]
+    pieces = -(-(stop - first) // MOST_WINDOWS)
+    if len(pieces) and pieces.max() > 1:
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + step * MOST_WINDOWS
+        stop = np.minimum(np.repeat(stop, pieces), first + MOST_WINDOWS)
     return Segments(owner[first], first, stop, least[first])
 
 
-def _gather(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Byte spans as a binary array."""
+def _gather(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans one after another, and their bounds."""
     lengths = ends - starts
     offsets = np.concatenate(([0], np.cumsum(lengths)))
-    places = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[places])]).cast(pa.binary())
+    return raw[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])], offsets
 
 
 def runs_blob(chunk: np.ndarray, text: np.ndarray, first: np.ndarray, stop: np.ndarray) -> pa.Table:
@@ -119,10 +127,30 @@ def _pieces(flags: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.n
     return row[at[begin]], place[at[begin]], place[at[end]] + 1
 
 
-def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solve: Solve, shard_segments: int, shard_heat: int) -> DataFrame:
-    """``chunk`` and packed runs (text, first window, stop window) that repeat."""
+# What a segment carries besides its bytes, column by column in a compressed blob.
+META = {"anchor": np.uint32, "content": np.uint64, "doc": np.int64, "text": np.int32, "first": np.int32, "n": np.int32, "size": np.int32, "split": np.bool_}
+
+
+def _packed(columns: dict[str, np.ndarray], zstd: zstandard.ZstdCompressor) -> bytes:
+    return zstd.compress(b"".join(columns[k].astype(kind).tobytes() for k, kind in META.items()))
+
+
+def _opened(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of several blobs, and how many rows each blob had."""
+    width = sum(np.dtype(kind).itemsize for kind in META.values())
+    found, counts = {k: [] for k in META}, []
+    for blob in map(zstandard.decompress, blobs):
+        n, at = len(blob) // width, 0
+        counts.append(n)
+        for k, kind in META.items():
+            found[k].append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {k: np.concatenate(v) for k, v in found.items()}, np.array(counts)
+
+
+def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solve: Solve, shard_bytes: int, shard_heat: int) -> tuple[DataFrame, DataFrame]:
+    """``chunk`` and packed runs (text, first window, stop window) that repeat; ``chunk`` and its copies."""
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    n_segments = int(size // 14)
 
     def cut_chunk(chunk: dict) -> tuple:
         ids, _, raw, bounds = unpacked(chunk)
@@ -130,28 +158,27 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
         sums = prefix_sums(units.values)
         return ids, raw, units, sums, segments_of(units, sums, window, gram)
 
-    flagged, buckets = with_flags(chunks, ["ids", "known", "bounds", "texts", "n_bytes"], lambda c: cut_chunk(c)[-1].anchor, n_segments)
+    flagged, buckets = with_flags(chunks, ["ids", "known", "bounds", "texts", "n_bytes"], lambda c: mix(cut_chunk(c)[-1].anchor), size // 14)
+
     # Whole texts that stand in a smaller document too; their windows are all repeated.
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunk_rows(batches):
-            ids, _, raw, bounds = unpacked(chunk)
-            sums = prefix_sums(byte_values(raw))
-            h1 = span_hashes(sums, bounds[:-1], bounds[1:])
-            h2 = span_hashes(prefix_sums(mix(byte_values(raw))), bounds[:-1], bounds[1:]) ^ np.diff(bounds).astype(np.uint64)
-            columns = [np.full(len(ids), chunk["chunk"]), np.arange(len(ids)), ids, h1.view(np.int64), h2.view(np.int64)]
+            ids = known_ids(chunk)
+            columns = [np.full(len(ids), chunk["chunk"]), np.arange(len(ids)), ids, *[np.frombuffer(chunk[k], np.int64) for k in ("h1", "h2")]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["chunk", "text", "id", "h1", "h2"])
 
-    rows = chunks.select("chunk", "ids", "known", "bounds", "texts", "n_bytes").mapInArrow(hashed, "chunk long, text long, id long, h1 long, h2 long")
+    rows = chunks.select("chunk", "ids", "known", "h1", "h2").mapInArrow(hashed, "chunk long, text long, id long, h1 long, h2 long")
     smallest = rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     copies = rows.join(smallest, ["h1", "h2"]).where("id > least").groupBy("chunk").agg(F.collect_list("text").alias("copies"))
-    shards = max(1, n_segments // shard_segments)
+    shards = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(level=1)
         for chunk in chunk_rows(batches):
             ids, raw, units, sums, found = cut_chunk(chunk)
             if not len(found.anchor):
                 continue
-            heat = heats(chunk, found.anchor, buckets)
+            heat = heats(chunk, mix(found.anchor), buckets)
             copy = np.zeros(len(ids), bool)
             copy[np.array(chunk["copies"] or [], np.int64)] = True
             # Anchors that repeat within the chunk, in different documents.
@@ -163,30 +190,40 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
             local[order] = np.repeat(several, np.diff(np.append(starts, len(order))))
             use = np.flatnonzero((local | (heat > 0)) & ~copy[found.text])
             text, first, stop, anchor = found.text[use], found.first[use], found.stop[use], found.anchor[use]
+            if not len(use):
+                continue
             content = span_hashes(sums, first, stop + window - 1)
             salts = np.uint64(1) << np.maximum(heat[use].astype(np.int64) - shard_heat, 0).astype(np.uint64)
-            in_text = units.bounds[text]
-            for at in range(0, len(use), 20_000):
-                part = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((anchor[part] % np.uint64(shards)).astype(np.int64), pa.int64()),
-                        pa.array((content[part] % salts[part]).astype(np.int32), pa.int32()),
-                        pa.array(salts[part] > 1, pa.bool_()),
-                        pa.array(anchor[part].view(np.int64), pa.int64()),
-                        pa.array(content[part].view(np.int64), pa.int64()),
-                        pa.array(ids[text[part]], pa.int64()),
-                        pa.array(np.full(len(text[part]), chunk["chunk"]), pa.int64()),
-                        pa.array(text[part].astype(np.int32), pa.int32()),
-                        pa.array((first - in_text)[part].astype(np.int32), pa.int32()),
-                        pa.array((stop - first)[part].astype(np.int32), pa.int32()),
-                        _gather(raw, units.starts[first[part]], units.ends[stop[part] + window - 2]),
-                    ],
-                    names=NAMES,
-                )
+            shard_no, salt = (anchor % np.uint64(shards)).astype(np.int64), (content % salts).astype(np.int64)
+            starts, ends = units.starts[first], units.ends[stop + window - 2]
+            columns = {
+                "anchor": (anchor >> np.uint64(32)), "content": content, "doc": ids[text], "text": text,
+                "first": first - units.bounds[text], "n": stop - first, "size": ends - starts, "split": salts > 1,
+            }
+            # One row for each shard, with its segments column by column.
+            order = np.lexsort((salt, shard_no))
+            new = np.concatenate(([True], (np.diff(shard_no[order]) != 0) | (np.diff(salt[order]) != 0)))
+            groups = np.split(order, np.flatnonzero(new)[1:])
+            heads = np.array([g[0] for g in groups])
+            meta = [_packed({k: v[g] for k, v in columns.items()}, zstd) for g in groups]
+            words = [zstd.compress(_gather(raw, starts[g], ends[g])[0].tobytes()) for g in groups]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(shard_no[heads], pa.int64()),
+                    pa.array(salt[heads], pa.int64()),
+                    pa.array(np.full(len(groups), chunk["chunk"]), pa.int64()),
+                    pa.array(meta, pa.binary()),
+                    pa.array(words, pa.binary()),
+                ],
+                names=["shard", "salt", "chunk", "meta", "words"],
+            )
 
     def shard(table: pa.Table) -> pa.Table:
-        split, anchor, content, doc, chunk, text, first, n = (table.column(k).to_numpy() for k in ("split", "anchor", "content", "doc", "chunk", "text", "first", "n"))
+        columns, counts = _opened(table.column("meta").to_pylist())
+        split, anchor, content, doc, text, first, n, size = (columns[k] for k in ("split", "anchor", "content", "doc", "text", "first", "n", "size"))
+        chunk = np.repeat(table.column("chunk").to_numpy(), counts)
+        raw = np.frombuffer(b"".join(map(zstandard.decompress, table.column("words").to_pylist())), np.uint8)
+        begins = np.cumsum(size, dtype=np.int64) - size
         order = np.lexsort((doc, n, content, anchor))
         a, c, m = anchor[order], content[order], n[order]
         new = np.concatenate(([True], (np.diff(a) != 0) | (np.diff(c) != 0) | (np.diff(m) != 0)))
@@ -200,11 +237,10 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
         new_anchor = np.concatenate(([True], np.diff(a[begin]) != 0))
         contents = np.bincount(np.cumsum(new_anchor) - 1)
         several = np.flatnonzero(np.repeat(contents > 1, contents))
-        column = table.column("words").combine_chunks()
         if len(several):
-            texts = column.take(pa.array(order[begin[several]])).to_pylist()
+            chosen = order[begin[several]]
             places = np.repeat(offsets[several] - np.concatenate(([0], np.cumsum(lengths[several])))[:-1], lengths[several]) + np.arange(lengths[several].sum())
-            least[places] = solve(texts, lengths[several], owner[several])
+            least[places] = solve(*_gather(raw, begins[chosen], begins[chosen] + size[chosen]), lengths[several], owner[several])
         # Back to the rows: which of their windows a smaller document has.
         row = np.repeat(np.arange(len(kind)), n)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -216,7 +252,10 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
         tables = [pa.table(out)]
         open_rows = np.flatnonzero(split & (doc == owner[kind]))
         if len(open_rows):
-            tables.append(_open_windows(table, open_rows, gone, row, inside, cut, window, shards))
+            texts = _gather(raw, begins[open_rows], begins[open_rows] + size[open_rows])
+            mine = np.isin(row, open_rows) & ~gone
+            who = {"doc": doc[row[mine]], "chunk": chunk[row[mine]], "text": text[row[mine]], "place": inside[mine] + first[row[mine]]}
+            tables.append(_open_windows(cut(*texts), np.searchsorted(open_rows, row[mine]), inside[mine], who, window, shards))
         return pa.concat_tables([t.select(["chunk", "runs", "keys", "part"]) for t in tables])
 
     found = with_copies(flagged, copies).mapInArrow(candidates, SEGMENT).groupBy("shard", "salt").applyInArrow(shard, "chunk long, runs binary, keys binary, part long")
@@ -225,8 +264,7 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
     return found.where("part IS NULL").select("chunk", "runs").unionByName(merged), copies
 
 
-NAMES = ["shard", "salt", "split", "anchor", "content", "doc", "chunk", "text", "first", "n", "words"]
-SEGMENT = "shard long, salt int, split boolean, anchor long, content long, doc long, chunk long, text int, first int, n int, words binary"
+SEGMENT = "shard long, salt long, chunk long, meta binary, words binary"
 OPEN = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("chunk", "<i8"), ("text", "<i4"), ("place", "<i4")])
 
 
@@ -234,22 +272,14 @@ def with_copies(chunks: DataFrame, copies: DataFrame) -> DataFrame:
     return chunks.join(copies, "chunk", "left")
 
 
-def _open_windows(table: pa.Table, rows: np.ndarray, gone: np.ndarray, row: np.ndarray, inside: np.ndarray, cut: Callable, window: int, parts: int) -> pa.Table:
+def _open_windows(units: Units, number: np.ndarray, inside: np.ndarray, who: dict[str, np.ndarray], window: int, parts: int) -> pa.Table:
     """Windows of split anchors that this shard can't decide, sorted by hash, by ranges of the hash."""
-    texts = table.column("words").combine_chunks().take(pa.array(rows))
-    lengths = np.array([len(t.as_buffer()) for t in texts])
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    raw = np.frombuffer(b"".join(t.as_py() for t in texts), np.uint8)
-    units = cut(raw, bounds)
-    mine = np.isin(row, rows) & ~gone
-    number = np.searchsorted(rows, row[mine])
-    start = units.bounds[number] + inside[mine]
-    h1 = span_hashes(prefix_sums(units.values), start, start + window)
-    h2 = span_hashes(prefix_sums(mix(units.values)), start, start + window)
-    out = np.empty(len(h1), OPEN)
-    out["h1"], out["h2"], out["place"] = h1, h2, inside[mine] + table.column("first").to_numpy()[row[mine]]
-    for name in ("doc", "chunk", "text"):
-        out[name] = table.column(name).to_numpy()[row[mine]]
+    start = units.bounds[number] + inside
+    out = np.empty(len(start), OPEN)
+    out["h1"] = span_hashes(prefix_sums(units.values), start, start + window)
+    out["h2"] = span_hashes(prefix_sums(mix(units.values)), start, start + window)
+    for name, values in who.items():
+        out[name] = values
     out = out[np.lexsort((out["doc"], out["h2"], out["h1"]))]
     part = (out["h1"] >> np.uint64(32)).astype(np.int64) * parts >> 32
     cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
@@ -281,7 +311,7 @@ def remove_repeats(
     join: bool,
     id_col: str = "doc_id",
     text: str = "text",
-    shard_segments: int = SHARD_SEGMENTS,
+    shard_bytes: int = SHARD_BYTES,
     shard_heat: int = SHARD_HEAT,
 ) -> DataFrame:
     """Per row: ``id_col``, ``n_units``, ``n_removed``, ``n_spans`` and ``kept`` (bytes).
@@ -289,7 +319,7 @@ def remove_repeats(
     ``join`` puts one space between kept units; otherwise bytes are kept as they stand.
     """
     chunks = packed_texts(docs, id_col, text)
-    runs, copies = repeated_runs(chunks, cut, window, gram, solve, shard_segments, shard_heat)
+    runs, copies = repeated_runs(chunks, cut, window, gram, solve, shard_bytes, shard_heat)
     of_chunk = runs.groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import fresh_path
-from .textbytes import texts_of
+from .textbytes import byte_values, mix, prefix_sums, span_hashes, texts_of
 
 BUCKET_KEYS = 2_000_000
 CHUNK_BYTES = 1_000_000
@@ -51,7 +51,8 @@ def slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.
 
 
 def packed_texts(docs: DataFrame, id_col: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Documents in chunks: ``chunk``, ``ids``, ``known`` (id isn't null), ``bounds``, ``texts`` (zstd), ``n_bytes``.
+    """Documents in chunks: ``chunk``, ``ids``, ``known`` (id isn't null), ``bounds``, ``texts`` (zstd), ``n_bytes``,
+    and two hashes of each text, ``h1`` and ``h2``.
 
     The chunks are written, so every later pass sees the same ones.
     """
@@ -66,22 +67,26 @@ def packed_texts(docs: DataFrame, id_col: str, text: str, chunk_bytes: int = CHU
                 raw, bounds = texts_of(part.column(1))
                 ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
                 known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
-                columns = [
-                    pa.array([next(numbers)], pa.int64()),
-                    *[pa.array([x], pa.binary()) for x in (ids.tobytes(), known.tobytes(), bounds.tobytes(), zstd.compress(raw.tobytes()))],
-                    pa.array([len(raw)], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "known", "bounds", "texts", "n_bytes"])
+                values = byte_values(raw)
+                h1 = span_hashes(prefix_sums(values), bounds[:-1], bounds[1:])
+                h2 = span_hashes(prefix_sums(mix(values)), bounds[:-1], bounds[1:]) ^ np.diff(bounds).astype(np.uint64)
+                blobs = (ids.tobytes(), known.tobytes(), bounds.tobytes(), zstd.compress(raw.tobytes()), h1.tobytes(), h2.tobytes())
+                columns = [pa.array([next(numbers)], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs], pa.array([len(raw)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "known", "bounds", "texts", "h1", "h2", "n_bytes"])
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    schema = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long"
+    schema = "chunk long, ids binary, known binary, bounds binary, texts binary, h1 binary, h2 binary, n_bytes long"
     return written_bucketed(packed.mapInArrow(work, schema), "chunk", "packed_texts")
 
 
+def known_ids(chunk: dict) -> np.ndarray:
+    """A chunk's ids, the largest number for null."""
+    return np.where(np.frombuffer(chunk["known"], bool), np.frombuffer(chunk["ids"], np.int64), np.iinfo(np.int64).max)
+
+
 def unpacked(chunk: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids (the largest number for null), known, bytes and bounds of a chunk."""
-    known = np.frombuffer(chunk["known"], bool)
-    ids = np.where(known, np.frombuffer(chunk["ids"], np.int64), np.iinfo(np.int64).max)
+    ids, known = known_ids(chunk), np.frombuffer(chunk["known"], bool)
     raw = np.frombuffer(zstandard.decompress(chunk["texts"]) if chunk["n_bytes"] else b"", np.uint8)
     return ids, known, raw, np.frombuffer(chunk["bounds"], np.int64)
 
@@ -94,19 +99,17 @@ def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _spread(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ordered by bucket, their buckets, and where buckets start."""
+    """Distinct keys in order, their buckets (ranges of keys), and where buckets start."""
     keys = np.unique(keys)
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    keys, bucket = keys[order], bucket[order]
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     return keys, bucket, np.flatnonzero(np.diff(bucket, prepend=-1))
 
 
 def with_flags(chunks: DataFrame, columns: list[str], keys_of: KeysOf, n_keys: int) -> tuple[DataFrame, int]:
     """``chunks`` with the answers of the buckets as column ``flags``, for ``heats``.
 
-    ``keys_of`` makes a chunk's 64-bit keys from its ``columns`` and must give the
-    same keys every time. ``n_keys`` is a rough count of all keys.
+    ``keys_of`` makes a chunk's keys, which must be evenly spread over 64 bits, from
+    its ``columns``, the same ones every time. ``n_keys`` is a rough count of all keys.
     """
     spark = chunks.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET_KEYS)
@@ -114,7 +117,7 @@ def with_flags(chunks: DataFrame, columns: list[str], keys_of: KeysOf, n_keys: i
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunk_rows(batches):
             keys, bucket, starts = _spread(keys_of(chunk), buckets)
-            short = (keys // np.uint64(buckets)).astype(np.uint32)
+            short = (keys * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
             blobs = [part.tobytes() for part in np.split(short, starts[1:])] if len(keys) else []
             columns = [pa.array(bucket[starts], pa.int64()), pa.array([chunk["chunk"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys"])
@@ -144,7 +147,6 @@ def heats(chunk: dict, keys: np.ndarray, buckets: int) -> np.ndarray:
     """For each of a chunk's keys: 0 if no other chunk has it, else about log2 of the number of chunks, plus 1."""
     if not len(keys):
         return np.zeros(0, np.uint8)
-    distinct, bucket, starts = _spread(keys, buckets)
+    distinct = np.unique(keys)
     heat = np.concatenate([np.frombuffer(zstandard.decompress(x["heat"]), np.uint8) for x in chunk["flags"]])
-    order = np.argsort(distinct)
-    return heat[order][np.searchsorted(distinct[order], keys)]
+    return heat[np.searchsorted(distinct, keys)]

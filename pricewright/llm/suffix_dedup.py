@@ -23,13 +23,10 @@ GRAM = 24
 
 
 def solver(window: int):
-    def solve(texts: list[bytes], n_windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        lengths = np.array([len(t) for t in texts])
-        bounds = np.concatenate(([0], np.cumsum(lengths)))
-        values = np.frombuffer(b"".join(texts), np.uint8)
+    def solve(values: np.ndarray, bounds: np.ndarray, n_windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
         order, rank = suffix_array(values, bounds)
         shared = common_prefixes(values, bounds, order, rank, window)
-        segment = np.repeat(np.arange(len(texts)), lengths)
+        segment = np.repeat(np.arange(len(owners)), np.diff(bounds))
         place = np.arange(len(values)) - bounds[segment]
         is_window = place < n_windows[segment]
         owner = np.where(is_window, owners[segment], np.iinfo(np.int64).max)[order]
