@@ -122,7 +122,9 @@ class Mix:
     def blocks(self, text: str = "text") -> DataFrame:
         """The mix itself: each slot with the words of its block."""
         spans = self.pieces.select("source_no", "block", "place", "__id", "__text_hash", "part", "first", "n_words")
-        with_text = spans.join(self.documents.select("__id", "__text_hash", "part", F.col(text).alias("__text")), ["__id", "__text_hash", "part"])
+        keys = ["__id", "__text_hash", "part"]
+        texts = self.documents.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col(text).alias("__text"))
+        with_text = spans.join(texts, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
         packed = (
             with_text.withColumn("__text", F.array_join(F.slice(words(F.col("__text")), F.col("first") + 1, F.col("n_words").cast("int")), " "))
             .groupBy("source_no", "block")
