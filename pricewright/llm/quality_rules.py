@@ -69,6 +69,10 @@ def repeated_words(w: Column) -> Column:
     The windows' hashes are sorted with their places; equal neighbours mark
     places, and sorted places tell how many words their windows cover.
     """
+    return _let(w, _repeated_words)
+
+
+def _repeated_words(w: Column) -> Column:
     grams = F.when(
         F.size(w) >= 3,
         F.sort_array(
@@ -103,7 +107,7 @@ def repeated_words(w: Column) -> Column:
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The measures of every text as columns."""
+    """The measures of every text as columns, and ``__row``."""
     whole = F.coalesce(F.col(text), F.lit(""))
     split = docs.withColumn("__words", words(whole)).withColumn(
         "__lines", F.filter(F.split(whole, "\n"), lambda x: F.trim(x, F.lit(BLANK_CHARS)) != "")
@@ -118,6 +122,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": repeated_words(F.col("__words")),
             "n_stop_words": F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
+            # Keeps a later filter on the measures from being pushed below them, which
+            # would compute them anew for every mention.
+            "__row": F.monotonically_increasing_id(),
         }
     ).drop("__words", "__lines")
 
@@ -142,5 +149,5 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         base_failed = base_failed | broken(rule)
     names = F.filter(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]), lambda n: n.isNotNull())
     return measured.withColumns({"base_failed": base_failed, "broken_rules": names}).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)
-    )
+        "kept", ~F.col("base_failed") & (F.size("broken_rules") == 0) & (F.col("__row") >= 0)
+    ).drop("__row")
