@@ -1,7 +1,7 @@
 """Python functions on Arrow batches, each next to what bounds its groups.
 
-The built-ins do all of this faster; these show where user code plugs in. The
-functions are made inside others so that they travel to the workers by value
+``price_trend`` is what no built-in has. The built-ins do the others faster; those
+show where user code plugs in. The functions are made inside others so that they travel to the workers by value
 and no worker has to import this package.
 """
 
@@ -30,6 +30,28 @@ def geometric_prices(daily: DataFrame, by: str) -> DataFrame:
     return own.join(built_in, [by, "year"])
 
 
+def theil_sen_udf():
+    def slope(x, y):
+        i, j = np.triu_indices(len(x), 1)
+        step = x.to_numpy()[j] - x.to_numpy()[i]
+        rise = y.to_numpy()[j] - y.to_numpy()[i]
+        return float(np.median(rise[step != 0] / step[step != 0])) if (step != 0).any() else None
+
+    slope.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": float}
+    return F.pandas_udf(slope, T.DoubleType())
+
+
+def price_trend(lines: DataFrame, by: str = "p_brand") -> DataFrame:
+    """Robust trend of the mean price per month: the median slope between any two months.
+
+    No built-in has it. A group has one row per month, so its pairs are bounded
+    by the calendar.
+    """
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    months = lines.filter(F.col("unit_price").isNotNull()).groupBy(by, month.alias("month")).agg(F.avg("unit_price").alias("price"))
+    return months.groupBy(by).agg(theil_sen_udf()(F.col("month").cast("double"), F.col("price")).alias("slope"))
+
+
 def price_steps_udtf():
     class PriceSteps:
         """Equal steps between two prices."""
@@ -47,12 +69,9 @@ def price_steps_udtf():
 
 def price_steps(ranges: DataFrame, by: str, steps: int) -> DataFrame:
     """Steps from ``low`` to ``high`` for each row of ``ranges``."""
-    spark = ranges.sparkSession
-    spark.udtf.register("price_steps", price_steps_udtf())
-    return spark.sql(
-        f"select r.{by}, s.step, s.low, s.high from {{ranges}} r, lateral price_steps(r.low, r.high, {int(steps)}) s",
-        ranges=ranges,
-    )
+    bounds = ranges.select(F.col(by), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    made = price_steps_udtf()(F.col("_low").outer(), F.col("_high").outer(), F.lit(int(steps)))
+    return bounds.lateralJoin(made).drop("_low", "_high")
 
 
 def median_daily_price(daily: DataFrame) -> DataFrame:

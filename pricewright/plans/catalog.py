@@ -520,6 +520,11 @@ def udf_geometric_mean(spark, sf_dir):
     return rounded(longs(udfs.geometric_prices(daily, "p_brand"), "year"), "geo_price", "geo_price_check")
 
 
+@query
+def udf_price_trend(spark, sf_dir):
+    return rounded(udfs.price_trend(_branded(spark, sf_dir)), "slope")
+
+
 @query
 def udtf_price_steps(spark, sf_dir):
     ranges = _branded(spark, sf_dir).groupBy("p_brand").agg(F.min("unit_price").alias("low"), F.max("unit_price").alias("high"))

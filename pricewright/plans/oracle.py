@@ -243,6 +243,10 @@ ORACLE = {
     "udf_geometric_mean": f"""select p_brand, year("day") as year, round(exp(avg(ln(p))) + 1e-9, 6) as geo_price,
         round(exp(avg(ln(p))) + 1e-9, 6) as geo_price_check from (select p_brand, cast(l_shipdate as date) as "day",
         cast(sum({_MONEY}) as double) / sum(l_quantity) as p from {_BRANDED} group by 1, 2) group by 1, 2""",
+    "udf_price_trend": f"""with m as (select p_brand, year(l_shipdate) * 12 + month(l_shipdate) as x, avg(unit_price) as y
+        from {_BRANDED} where unit_price is not null group by 1, 2)
+        select a.p_brand, round(median((b.y - a.y) / (b.x - a.x)) + 1e-9, 6) as slope
+        from m a join m b on a.p_brand = b.p_brand and a.x < b.x group by 1""",
     "udtf_price_steps": f"""select p_brand, k as step, round(a + (k - 1) * (b - a) / 4 + 1e-9, 4) as low, round(a + k * (b - a) / 4 + 1e-9, 4) as high
         from (select p_brand, min(unit_price) as a, max(unit_price) as b from {_BRANDED} group by 1)
         cross join (select range as k from range(1, 5))""",
