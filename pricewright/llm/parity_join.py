@@ -3,18 +3,21 @@
 A document is its set of distinct word shingles. Sets with 100 * intersection
 >= 90 * union differ in at most (a + b) / 19 elements (for 90; see ``Limits``). A
 parity sketch flips one bit per shingle, so two sketches differ in at most as many
-bits as the sets in elements. The sketch is cut into one part more than the sets
-may differ in, so two similar sets agree in a whole part: that part's
-parities, hashed, are the join key. Sizes are cut into bands such that similar
+bits as the sets in elements. The sketch (long and sparse) is cut into more parts
+than the sets may differ in, so two similar sets agree in whole parts: a part's
+parities, hashed, are a join key. A few parts are spare, so that a set can
+leave out its empty parts, in which strangers agree: as long as it has no more of
+them than spares, some part that isn't empty agrees. Sizes are cut into bands such that similar
 sets lie in one band or in neighbours; a set is sketched for its own band and
 as the larger set of the band below.
 
 Sets that are equal are one class. Candidates of a key are compared with the
-key's smallest class first, and linked classes are merged into components. Keys
-whose classes are still in several components are then compared pair by pair across
-components, so no link between components is missed, while a group of a
-thousand near copies costs a thousand comparisons and not a million. Every
-candidate is verified on whole sets.
+key's smallest class first, and linked classes are merged into components, so a
+group of a thousand near copies costs a thousand comparisons and not a million.
+Where a key's classes are still in several components, the join compares the
+short sketches of classes of different components: only pairs whose sketches
+differ in no more bits than similar sets may are let through, and no link between
+components is missed. Every candidate is verified on whole sets.
 
 Defined cases: a null or empty text has an empty set and links with nothing; its
 component is its own id; a null id counts as larger than all others; each row is
@@ -39,7 +42,11 @@ from .textbytes import byte_values, gram_hashes, lower_ascii, mix, prefix_sums,
 
 WORDS = 3
 PERCENT = 90
-PART_BITS = 256
+PART_BITS = 1 << 32
+# Spare parts, as a share of the parts.
+SPARE = 0.04
+# Words of 64 bits in the short sketch that a class carries into the last comparison.
+SHORT = 8
 ROUNDS = 2
 LAST_ID = (1 << 63) - 1
 
@@ -59,12 +66,17 @@ class Limits:
         return np.array(out)
 
     @cached_property
-    def parts(self) -> np.ndarray:
-        """Parts per band: one more than sets of the band and their partners may differ in."""
+    def needed(self) -> np.ndarray:
+        """Per band: one more than sets of the band and their partners may differ in."""
         largest = self.starts[1:] - 1
         both = largest + largest * 100 // self.percent
         return both * (100 - self.percent) // (100 + self.percent) + 1
 
+    @cached_property
+    def spare(self) -> np.ndarray:
+        """Parts on top of that, except where equality is all that is similar."""
+        return np.where(self.needed > 1, np.ceil(self.needed * SPARE).astype(np.int64), 0)
+
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
 
@@ -99,14 +111,14 @@ def set_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketch_keys(hashes: np.ndarray, bounds: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of all sets and the number of the set each belongs to."""
+    """Join keys of all sets, set by set, and how many each has."""
     sizes = np.diff(bounds)
     keys, owners = [], []
     for lower in (0, 1):
         sets = np.flatnonzero(sizes > 0)
         band = limits.band(sizes[sets]) - lower
         sets, band = sets[band >= 0], band[band >= 0]
-        parts = limits.parts[band]
+        parts = limits.needed[band] + limits.spare[band]
         first = np.concatenate(([0], np.cumsum(parts)))
         number = np.full(len(sizes), -1)
         number[sets] = np.arange(len(sets))
@@ -120,9 +132,13 @@ def sketch_keys(hashes: np.ndarray, bounds: np.ndarray, limits: Limits) -> tuple
         owner = np.repeat(np.arange(len(sets)), parts)
         part = np.arange(first[-1]) - first[owner]
         place = mix(((band[owner] << 40) | part).astype(np.uint64))
-        keys.append(mix(parity ^ place))
-        owners.append(sets[owner])
-    return np.concatenate(keys), np.concatenate(owners)
+        empty = parity == 0
+        few = np.bincount(owner[empty], minlength=len(sets)) <= limits.spare[band]
+        use = ~empty | ~few[owner]
+        keys.append(mix(parity ^ place)[use])
+        owners.append(sets[owner[use]])
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    return np.concatenate(keys)[order], np.bincount(np.concatenate(owners), minlength=len(sizes))
 
 
 def text_mark(text: str) -> Column:
@@ -130,7 +146,16 @@ def text_mark(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-CHUNK = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long, sizes binary, classes binary, keys binary, owners binary, marks binary, n_keys long"
+def short_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity sketches of 64 * SHORT bits, one row per set."""
+    out = np.zeros((len(bounds) - 1, SHORT), np.uint64)
+    bit = mix(hashes ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(64 * SHORT)
+    owner = np.repeat(np.arange(len(out)), np.diff(bounds))
+    np.bitwise_xor.at(out, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+CHUNK = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long, sizes binary, classes binary, keys binary, counts binary, marks binary, n_keys long"
 
 
 def sketched(docs: DataFrame, id_col: str, text: str, words: int, limits: Limits) -> DataFrame:
@@ -145,14 +170,14 @@ def sketched(docs: DataFrame, id_col: str, text: str, words: int, limits: Limits
             for part in slices(batch, sizes, CHUNK_BYTES):
                 raw, bounds = texts_of(part.column(1))
                 hashes, of = shingles(raw, bounds, words)
-                keys, owners = sketch_keys(hashes, of, limits)
+                keys, counts = sketch_keys(hashes, of, limits)
                 blobs = [
                     part.column(0).fill_null(0).to_numpy(zero_copy_only=False),
                     part.column(0).is_valid().to_numpy(zero_copy_only=False),
                     bounds,
                     zstd.compress(raw.tobytes()),
                 ]
-                more = [np.diff(of).astype(np.int64), set_hashes(hashes, of), keys, owners.astype(np.int32), part.column(2).to_numpy()]
+                more = [np.diff(of).astype(np.int64), set_hashes(hashes, of), keys, counts.astype(np.int32), part.column(2).to_numpy()]
                 as_bytes = [pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in (*blobs, *more)]
                 columns = [pa.array([next(numbers)], pa.int64()), *as_bytes[:4], pa.array([len(raw)], pa.int64()), *as_bytes[4:], pa.array([len(keys)], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CHUNK.split(", ")])
@@ -182,14 +207,14 @@ def documents_of(chunks: DataFrame) -> DataFrame:
 def shared_keys(chunks: DataFrame) -> DataFrame:
     """``key`` and ``class`` where a key occurs in more than one class (or seems to)."""
     total = chunks.agg(F.sum("n_keys")).first()[0] or 0
-    flagged, buckets = with_flags(chunks, ["keys", "owners", "classes"], lambda c: np.frombuffer(c["keys"], np.uint64), total)
+    flagged, buckets = with_flags(chunks, ["keys"], lambda c: np.frombuffer(c["keys"], np.uint64), total)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunk_rows(batches):
             keys = np.frombuffer(chunk["keys"], np.uint64)
             if not len(keys):
                 continue
-            of = np.frombuffer(chunk["classes"], np.int64)[np.frombuffer(chunk["owners"], np.int32)]
+            of = np.repeat(np.frombuffer(chunk["classes"], np.int64), np.frombuffer(chunk["counts"], np.int32))
             heat = heats(chunk, keys, buckets) > 0
             order = np.lexsort((of, keys))
             keys, of, heat = keys[order], of[order], heat[order]
@@ -200,11 +225,11 @@ def shared_keys(chunks: DataFrame) -> DataFrame:
             use = heat | same_key | np.append(same_key[1:], False)
             yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64), pa.int64()), pa.array(of[use], pa.int64())], names=["key", "class"])
 
-    return flagged.select("chunk", "keys", "owners", "classes", "flags").mapInArrow(work, "key long, class long")
+    return flagged.select("chunk", "keys", "counts", "classes", "flags").mapInArrow(work, "key long, class long")
 
 
 def sets_of(chunks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``class`` and its whole ``set`` for one document of each wanted class.
+    """``class``, its whole ``set``, ``size`` and short sketch for one document of each wanted class.
 
     ``wanted`` has ``chunk`` and ``text``.
     """
@@ -218,10 +243,22 @@ def sets_of(chunks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             hashes, of = shingles(np.concatenate(spans), np.concatenate(([0], np.cumsum([len(x) for x in spans]))), words)
             lists = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(hashes.view(np.int64)))
             classes = np.frombuffer(chunk["classes"], np.int64)[asked]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists], names=["class", "set"])
+            short = [pa.array(s.view(np.int64), pa.int64()) for s in np.ascontiguousarray(short_sketches(hashes, of).T)]
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists, pa.array(np.diff(of), pa.int64()), *short], names=["class", "set", "size", *SKETCH])
 
     columns = ["chunk", "ids", "known", "bounds", "texts", "n_bytes", "classes", "asked"]
-    return chunks.join(asked, "chunk").select(*columns).mapInArrow(work, "class long, set array<long>")
+    return chunks.join(asked, "chunk").select(*columns).mapInArrow(work, "class long, set array<long>, size long, " + ", ".join(f"{s} long" for s in SKETCH))
+
+
+SKETCH = [f"sketch{i}" for i in range(SHORT)]
+
+
+def may_be_similar(percent: int, other: str) -> Column:
+    """Whether two short sketches differ in no more bits than similar sets in elements."""
+    differ = F.lit(0)
+    for s in SKETCH:
+        differ = differ + F.bit_count(F.col(s).bitwiseXOR(F.col(f"{other}{s}")))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col(f"{other}size"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,10 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     known = F.coalesce(F.col("id"), F.lit(LAST_ID))
     keys = written(shared_keys(chunks), "shared_keys")
     one_each = rows.groupBy("class").agg(F.min(F.struct("chunk", "text")).alias("at"))
-    members = keys.select("class").distinct()
-    sets = written(sets_of(chunks, one_each.join(members, "class").select("at.chunk", "at.text"), words), "sets")
-
-    labels = links = checked = None
+    sets = labels = links = checked = None
     for number in range(rounds + 1):
         labelled = keys.withColumn("label", F.col("class"))
         if labels is not None:
@@ -276,6 +310,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         unsettled = written(labelled.join(spread, "key"), "unsettled")
         if unsettled.isEmpty():
             break
+        if sets is None:  # of all classes that share a key with another one
+            wanted = one_each.join(unsettled.select("class").distinct(), "class").select("at.chunk", "at.text")
+            sets = written(sets_of(chunks, wanted, words), "sets")
         if number < rounds:
             # Every class against one class of its key; another one in each round.
             turn = F.xxhash64(F.lit(number), "class") if number else F.col("class")
@@ -283,8 +320,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             pivots = pivots.join(unsettled.select("key", turn.alias("turn"), F.col("class").alias("pivot"), F.col("label").alias("pivot_label")), ["key", "turn"])
             pairs = unsettled.join(pivots.drop("turn"), "key").where("label <> pivot_label").select("class", F.col("pivot").alias("other"))
         else:
-            other = unsettled.select("key", F.col("class").alias("other"), F.col("label").alias("other_label"))
-            pairs = unsettled.join(other, "key").where("label < other_label").select("class", "other")
+            drawn = unsettled.join(sets.select("class", "size", *SKETCH), "class")
+            other = drawn.select("key", *[F.col(c).alias(f"other_{c}") for c in ("class", "label", "size", *SKETCH)])
+            apart = (F.col("label") < F.col("other_label")) & may_be_similar(percent, "other_")
+            pairs = drawn.join(other.withColumnRenamed("key", "other_key"), (F.col("key") == F.col("other_key")) & apart).select("class", F.col("other_class").alias("other"))
         pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")

@@ -46,6 +46,7 @@ MOST_WINDOWS = 128
 # Halvings of an anchor's chunk count that one shard takes.
 SHARD_HEAT = 7
 RUN = "chunk long, runs binary"
+RUN_KIND = np.dtype([("at", "<i4"), ("n", "<u2")])
 
 # solve(bytes, bounds, n_windows, owners) -> smallest owner of every window, in order.
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -106,17 +107,18 @@ def _gather(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return raw[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])], offsets
 
 
-def runs_blob(chunk: np.ndarray, text: np.ndarray, first: np.ndarray, stop: np.ndarray) -> pa.Table:
-    """Removed runs, one packed row per chunk."""
-    order = np.argsort(chunk, kind="stable")
-    chunk, triples = chunk[order], np.stack((text, first, stop), axis=1).astype(np.int32)[order]
+def runs_blob(chunk: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Runs of removed windows (first window in the chunk and length), one packed row per chunk."""
+    order = np.lexsort((at, chunk))
+    chunk, pairs = chunk[order], np.empty(len(order), RUN_KIND)
+    pairs["at"], pairs["n"] = at[order], n[order]
     cuts = np.flatnonzero(np.diff(chunk)) + 1
-    blobs = [x.tobytes() for x in np.split(triples, cuts)] if len(chunk) else []
+    blobs = [x.tobytes() for x in np.split(pairs, cuts)] if len(chunk) else []
     return pa.table({"chunk": pa.array(chunk[np.append(0, cuts)] if len(chunk) else [], pa.int64()), "runs": pa.array(blobs, pa.binary())})
 
 
 def _pieces(flags: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of set flags within a row: row, first place and stop."""
+    """Runs of set flags within a row: row, first place and length."""
     at = np.flatnonzero(flags)
     if not len(at):
         return at, at, at
@@ -124,11 +126,11 @@ def _pieces(flags: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.n
     new[1:] = (np.diff(at) > 1) | (np.diff(row[at]) != 0)
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(at)) - 1
-    return row[at[begin]], place[at[begin]], place[at[end]] + 1
+    return row[at[begin]], place[at[begin]], place[at[end]] + 1 - place[at[begin]]
 
 
 # What a segment carries besides its bytes, column by column in a compressed blob.
-META = {"anchor": np.uint32, "content": np.uint64, "doc": np.int64, "text": np.int32, "first": np.int32, "n": np.int32, "size": np.int32, "split": np.bool_}
+META = {"anchor": np.uint32, "content": np.uint64, "doc": np.int64, "at": np.int32, "n": np.uint16, "size": np.int32, "split": np.bool_}
 
 
 def _packed(columns: dict[str, np.ndarray], zstd: zstandard.ZstdCompressor) -> bytes:
@@ -149,7 +151,7 @@ def _opened(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 
 def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solve: Solve, shard_bytes: int, shard_heat: int) -> tuple[DataFrame, DataFrame]:
-    """``chunk`` and packed runs (text, first window, stop window) that repeat; ``chunk`` and its copies."""
+    """``chunk`` and packed runs of windows that repeat; ``chunk`` and its copies."""
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
 
     def cut_chunk(chunk: dict) -> tuple:
@@ -197,8 +199,8 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
             shard_no, salt = (anchor % np.uint64(shards)).astype(np.int64), (content % salts).astype(np.int64)
             starts, ends = units.starts[first], units.ends[stop + window - 2]
             columns = {
-                "anchor": (anchor >> np.uint64(32)), "content": content, "doc": ids[text], "text": text,
-                "first": first - units.bounds[text], "n": stop - first, "size": ends - starts, "split": salts > 1,
+                "anchor": (anchor >> np.uint64(32)), "content": content, "doc": ids[text],
+                "at": first, "n": stop - first, "size": ends - starts, "split": salts > 1,
             }
             # One row for each shard, with its segments column by column.
             order = np.lexsort((salt, shard_no))
@@ -220,7 +222,8 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
 
     def shard(table: pa.Table) -> pa.Table:
         columns, counts = _opened(table.column("meta").to_pylist())
-        split, anchor, content, doc, text, first, n, size = (columns[k] for k in ("split", "anchor", "content", "doc", "text", "first", "n", "size"))
+        split, anchor, content, doc, at, size = (columns[k] for k in ("split", "anchor", "content", "doc", "at", "size"))
+        n = columns["n"].astype(np.int64)
         chunk = np.repeat(table.column("chunk").to_numpy(), counts)
         raw = np.frombuffer(b"".join(map(zstandard.decompress, table.column("words").to_pylist())), np.uint8)
         begins = np.cumsum(size, dtype=np.int64) - size
@@ -245,8 +248,8 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
         row = np.repeat(np.arange(len(kind)), n)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         gone = least[offsets[kind][row] + inside] < doc[row]
-        out_row, out_first, out_stop = _pieces(gone, row, inside)
-        decided = runs_blob(chunk[out_row], text[out_row], first[out_row] + out_first, first[out_row] + out_stop)
+        out_row, out_first, out_n = _pieces(gone, row, inside)
+        decided = runs_blob(chunk[out_row], at[out_row] + out_first, out_n)
         nothing = len(decided)
         out = {"chunk": decided.column("chunk"), "runs": decided.column("runs"), "keys": pa.nulls(nothing, pa.binary()), "part": pa.nulls(nothing, pa.int64())}
         tables = [pa.table(out)]
@@ -254,7 +257,7 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
         if len(open_rows):
             texts = _gather(raw, begins[open_rows], begins[open_rows] + size[open_rows])
             mine = np.isin(row, open_rows) & ~gone
-            who = {"doc": doc[row[mine]], "chunk": chunk[row[mine]], "text": text[row[mine]], "place": inside[mine] + first[row[mine]]}
+            who = {"doc": doc[row[mine]], "chunk": chunk[row[mine]], "place": inside[mine] + at[row[mine]]}
             tables.append(_open_windows(cut(*texts), np.searchsorted(open_rows, row[mine]), inside[mine], who, window, shards))
         return pa.concat_tables([t.select(["chunk", "runs", "keys", "part"]) for t in tables])
 
@@ -265,7 +268,7 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
 
 
 SEGMENT = "shard long, salt long, chunk long, meta binary, words binary"
-OPEN = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("chunk", "<i8"), ("text", "<i4"), ("place", "<i4")])
+OPEN = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("chunk", "<i8"), ("place", "<i4")])
 
 
 def with_copies(chunks: DataFrame, copies: DataFrame) -> DataFrame:
@@ -299,7 +302,7 @@ def _merge(table: pa.Table) -> pa.Table:
     for x, at in zip(lists, places, strict=True):
         np.minimum.at(least, at, x["doc"])
     gone = np.concatenate([x[least[at] < x["doc"]] for x, at in zip(lists, places, strict=True)])
-    return runs_blob(gone["chunk"], gone["text"], gone["place"], gone["place"] + 1)
+    return runs_blob(gone["chunk"], gone["place"], np.ones(len(gone), np.int64))
 
 
 def remove_repeats(
@@ -328,10 +331,10 @@ def remove_repeats(
             units = cut(raw, bounds)
             n = np.diff(units.bounds)
             change = np.zeros(len(units.values) + 1, np.int32)
-            triples = np.frombuffer(b"".join(chunk["runs"] or []), np.int32).reshape(-1, 3).astype(np.int64)
-            start = units.bounds[triples[:, 0]]
-            np.add.at(change, start + triples[:, 1], 1)
-            np.add.at(change, start + triples[:, 2] + window - 1, -1)
+            found = np.frombuffer(b"".join(chunk["runs"] or []), RUN_KIND)
+            at = found["at"].astype(np.int64)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + found["n"] + window - 1, -1)
             gone = np.cumsum(change)[:-1] > 0
             for text_no in chunk["copies"] or []:
                 if n[text_no] >= window:

@@ -241,5 +241,13 @@ def test_similar_sets_share_a_key(n, seed, percent):
     common = n - drop
     if 100 * common < percent * (n + len(b) - common) or not len(b):
         return
-    keys, owners = sketch_keys(np.concatenate((np.sort(a), np.sort(b))), np.array([0, n, n + len(b)]), Limits(percent))
-    assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
+    keys, counts = sketch_keys(np.concatenate((np.sort(a), np.sort(b))), np.array([0, n, n + len(b)]), Limits(percent))
+    assert set(keys[: counts[0]].tolist()) & set(keys[counts[0] :].tolist())
+
+
+def test_short_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in rng.integers(1, 300, 2))
+        both = parity_join.short_sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        assert np.bitwise_count(both[0] ^ both[1]).sum() <= len(np.setxor1d(a, b))
