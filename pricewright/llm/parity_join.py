@@ -155,11 +155,14 @@ def short_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-CHUNK = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long, sizes binary, classes binary, keys binary, counts binary, marks binary, n_keys long"
+CHUNK = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long, sizes binary, classes binary, marks binary, n_keys long"
 
 
-def sketched(docs: DataFrame, id_col: str, text: str, words: int, limits: Limits) -> DataFrame:
-    """Chunks of documents with their texts, set sizes, classes and keys; written."""
+def sketched(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
+    """Chunks of documents with their texts, set sizes and classes; written.
+
+    Keys are about as large as the texts, so later passes make them again.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, zstd = chunk_ids(), zstandard.ZstdCompressor(level=3)
@@ -170,16 +173,15 @@ def sketched(docs: DataFrame, id_col: str, text: str, words: int, limits: Limits
             for part in slices(batch, sizes, CHUNK_BYTES):
                 raw, bounds = texts_of(part.column(1))
                 hashes, of = shingles(raw, bounds, words)
-                keys, counts = sketch_keys(hashes, of, limits)
                 blobs = [
                     part.column(0).fill_null(0).to_numpy(zero_copy_only=False),
                     part.column(0).is_valid().to_numpy(zero_copy_only=False),
                     bounds,
                     zstd.compress(raw.tobytes()),
                 ]
-                more = [np.diff(of).astype(np.int64), set_hashes(hashes, of), keys, counts.astype(np.int32), part.column(2).to_numpy()]
+                more = [np.diff(of).astype(np.int64), set_hashes(hashes, of), part.column(2).to_numpy()]
                 as_bytes = [pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in (*blobs, *more)]
-                columns = [pa.array([next(numbers)], pa.int64()), *as_bytes[:4], pa.array([len(raw)], pa.int64()), *as_bytes[4:], pa.array([len(keys)], pa.int64())]
+                columns = [pa.array([next(numbers)], pa.int64()), *as_bytes[:4], pa.array([len(raw)], pa.int64()), *as_bytes[4:], pa.array([len(hashes) // 3], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CHUNK.split(", ")])
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), text_mark(text).alias("mark"))
@@ -204,17 +206,23 @@ def documents_of(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", "ids", "known", "sizes", "classes", "marks").mapInArrow(work, schema)
 
 
-def shared_keys(chunks: DataFrame) -> DataFrame:
+def shared_keys(chunks: DataFrame, words: int, limits: Limits) -> DataFrame:
     """``key`` and ``class`` where a key occurs in more than one class (or seems to)."""
     total = chunks.agg(F.sum("n_keys")).first()[0] or 0
-    flagged, buckets = with_flags(chunks, ["keys"], lambda c: np.frombuffer(c["keys"], np.uint64), total)
+
+    def sketch(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
+        _, _, raw, bounds = unpacked(chunk)
+        return sketch_keys(*shingles(raw, bounds, words), limits)
+
+    columns = ["ids", "known", "bounds", "texts", "n_bytes"]
+    flagged, buckets = with_flags(chunks, columns, lambda c: sketch(c)[0], total)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunk_rows(batches):
-            keys = np.frombuffer(chunk["keys"], np.uint64)
+            keys, counts = sketch(chunk)
             if not len(keys):
                 continue
-            of = np.repeat(np.frombuffer(chunk["classes"], np.int64), np.frombuffer(chunk["counts"], np.int32))
+            of = np.repeat(np.frombuffer(chunk["classes"], np.int64), counts)
             heat = heats(chunk, keys, buckets) > 0
             order = np.lexsort((of, keys))
             keys, of, heat = keys[order], of[order], heat[order]
@@ -225,7 +233,7 @@ def shared_keys(chunks: DataFrame) -> DataFrame:
             use = heat | same_key | np.append(same_key[1:], False)
             yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64), pa.int64()), pa.array(of[use], pa.int64())], names=["key", "class"])
 
-    return flagged.select("chunk", "keys", "counts", "classes", "flags").mapInArrow(work, "key long, class long")
+    return flagged.select("chunk", *columns, "classes", "flags").mapInArrow(work, "key long, class long")
 
 
 def sets_of(chunks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -296,10 +304,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     empty set; ``mark`` is the row's ``text_mark``.
     """
     limits = Limits(percent)
-    chunks = sketched(docs, id_col, text, words, limits)
+    chunks = sketched(docs, id_col, text, words)
     rows = written(documents_of(chunks), "sketched_documents")
     known = F.coalesce(F.col("id"), F.lit(LAST_ID))
-    keys = written(shared_keys(chunks), "shared_keys")
+    keys = written(shared_keys(chunks, words, limits), "shared_keys")
     one_each = rows.groupBy("class").agg(F.min(F.struct("chunk", "text")).alias("at"))
     sets = labels = links = checked = None
     for number in range(rounds + 1):
