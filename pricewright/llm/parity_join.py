@@ -269,6 +269,14 @@ def may_be_similar(percent: int, other: str) -> Column:
     return (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col(f"{other}size"))
 
 
+def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that short sketches can't tell apart; whole sets are moved for these only."""
+    short = sets.select("class", "size", *SKETCH)
+    other = short.select(*[F.col(c).alias(f"other_{c}") for c in short.columns])
+    both = pairs.join(short.withColumnRenamed("class", "a"), "a").join(other.withColumnRenamed("other_class", "b"), "b")
+    return both.where(may_be_similar(percent, "other_")).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a"))
@@ -336,7 +344,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidate_pairs")
-        found = written(verified(pairs, sets, percent), "verified_pairs")
+        likely = pairs if number == rounds else likely_pairs(pairs, sets, percent)
+        found = written(verified(likely, sets, percent), "verified_pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
