@@ -7,7 +7,10 @@ equal anchors. A document is cut into segments, runs of windows with one anchor:
 1. Documents are packed into chunks. ``repeats`` tells which anchors occur in
    more than one chunk; the others can't belong to a repeated window.
 2. Segments with a repeated anchor go to the shard of their anchor, with text.
-   Exact copies of whole texts stay out: they only need their smallest id.
+   Equal ones go once per chunk, in their smallest document there: in larger
+   documents all their windows are repeated, and further ones in the same
+   document (twins) take over its answer. Exact copies of whole texts stay out:
+   they only need their smallest id.
 3. A shard keeps each distinct segment once with its smallest document and hands
    the segments of anchors that have several contents to an index (``solve``)
    which finds the smallest document of every window.
@@ -47,6 +50,8 @@ MOST_WINDOWS = 128
 SHARD_HEAT = 7
 RUN = "chunk long, runs binary"
 RUN_KIND = np.dtype([("at", "<i4"), ("n", "<u2")])
+# Windows that take over what is found for as many windows from ``of`` on.
+TWIN_KIND = np.dtype([("of", "<i4"), ("at", "<i4"), ("n", "<u2")])
 
 # solve(bytes, bounds, n_windows, owners) -> smallest owner of every window, in order.
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -103,8 +108,27 @@ def segments_of(units: Units, sums: np.ndarray, window: int, gram: int) -> Segme
 def _gather(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans one after another, and their bounds."""
     lengths = ends - starts
-    offsets = np.concatenate(([0], np.cumsum(lengths)))
-    return raw[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])], offsets
+    return raw[_places(starts, lengths)], np.concatenate(([0], np.cumsum(lengths)))
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of spans one after another."""
+    offsets = np.cumsum(lengths) - lengths
+    return np.repeat(starts - offsets, lengths) + np.arange(lengths.sum())
+
+
+def _once(content: np.ndarray, anchor: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments, by number: one of each content in its smallest document, those in larger
+    documents, further ones in the smallest document, and the first ones that these equal."""
+    order = np.argsort(content, kind="stable")
+    c, a, m, d = content[order], anchor[order], n[order], doc[order]
+    new = np.concatenate(([True], (c[1:] != c[:-1]) | (a[1:] != a[:-1]) | (m[1:] != m[:-1])))
+    kind = np.cumsum(new) - 1
+    larger = d > np.minimum.reduceat(d, np.flatnonzero(new))[kind]
+    same = np.flatnonzero(~larger)
+    first = np.concatenate(([True], np.diff(kind[same]) != 0))
+    heads = order[same[first]]
+    return heads, order[larger], order[same[~first]], heads[kind[same[~first]]]
 
 
 def runs_blob(chunk: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Table:
@@ -195,6 +219,14 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
             if not len(use):
                 continue
             content = span_hashes(sums, first, stop + window - 1)
+            heads, larger, twins, twin_of = _once(content, anchor, stop - first, ids[text])
+            if len(larger) or len(twins):
+                settled, same = np.empty(len(larger), RUN_KIND), np.empty(len(twins), TWIN_KIND)
+                settled["at"], settled["n"] = first[larger], (stop - first)[larger]
+                same["of"], same["at"], same["n"] = first[twin_of], first[twins], (stop - first)[twins]
+                values = (-1 - chunk["chunk"] % shards, 0, chunk["chunk"], settled.tobytes(), same.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], names=SEGMENT_COLUMNS)
+            use, text, first, stop, anchor, content = (x[heads] for x in (use, text, first, stop, anchor, content))
             salts = np.uint64(1) << np.maximum(heat[use].astype(np.int64) - shard_heat, 0).astype(np.uint64)
             shard_no, salt = (anchor % np.uint64(shards)).astype(np.int64), (content % salts).astype(np.int64)
             starts, ends = units.starts[first], units.ends[stop + window - 2]
@@ -217,57 +249,77 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
                     pa.array(meta, pa.binary()),
                     pa.array(words, pa.binary()),
                 ],
-                names=["shard", "salt", "chunk", "meta", "words"],
+                names=SEGMENT_COLUMNS,
             )
 
     def shard(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:
+            # What the chunks have settled themselves.
+            return _found(table.column("chunk"), table.column("meta"), twins=table.column("words"))
         columns, counts = _opened(table.column("meta").to_pylist())
         split, anchor, content, doc, at, size = (columns[k] for k in ("split", "anchor", "content", "doc", "at", "size"))
         n = columns["n"].astype(np.int64)
-        chunk = np.repeat(table.column("chunk").to_numpy(), counts)
-        raw = np.frombuffer(b"".join(map(zstandard.decompress, table.column("words").to_pylist())), np.uint8)
-        begins = np.cumsum(size, dtype=np.int64) - size
+        blob = np.repeat(np.arange(len(counts)), counts)
+        chunk = table.column("chunk").to_numpy()[blob]
         order = np.lexsort((doc, n, content, anchor))
         a, c, m = anchor[order], content[order], n[order]
         new = np.concatenate(([True], (np.diff(a) != 0) | (np.diff(c) != 0) | (np.diff(m) != 0)))
         begin = np.flatnonzero(new)
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
-        owner, lengths = doc[order][begin], m[begin]
-        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        heads, lengths = order[begin], m[begin]
+        owner = doc[heads]
+        offsets = np.cumsum(lengths) - lengths
         least = np.repeat(owner, lengths)
+        larger = doc > owner[kind]
         # Distinct contents of anchors that have more than one.
         new_anchor = np.concatenate(([True], np.diff(a[begin]) != 0))
         contents = np.bincount(np.cumsum(new_anchor) - 1)
         several = np.flatnonzero(np.repeat(contents > 1, contents))
+        # Text is opened where it is needed: once for each content.
+        open_rows = np.flatnonzero(split & ~larger)
+        wanted = np.zeros(len(counts), bool)
+        wanted[blob[heads[several]]] = wanted[blob[heads[kind[open_rows]]]] = True
+        words = table.column("words")
+        raw = np.frombuffer(b"".join(zstandard.decompress(words[i].as_py()) for i in np.flatnonzero(wanted).tolist()), np.uint8)
+        held = np.where(wanted[blob], size, 0)
+        begins = np.cumsum(held, dtype=np.int64) - held
         if len(several):
-            chosen = order[begin[several]]
-            places = np.repeat(offsets[several] - np.concatenate(([0], np.cumsum(lengths[several])))[:-1], lengths[several]) + np.arange(lengths[several].sum())
-            least[places] = solve(*_gather(raw, begins[chosen], begins[chosen] + size[chosen]), lengths[several], owner[several])
-        # Back to the rows: which of their windows a smaller document has.
-        row = np.repeat(np.arange(len(kind)), n)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        gone = least[offsets[kind][row] + inside] < doc[row]
-        out_row, out_first, out_n = _pieces(gone, row, inside)
-        decided = runs_blob(chunk[out_row], at[out_row] + out_first, out_n)
-        nothing = len(decided)
-        out = {"chunk": decided.column("chunk"), "runs": decided.column("runs"), "keys": pa.nulls(nothing, pa.binary()), "part": pa.nulls(nothing, pa.int64())}
-        tables = [pa.table(out)]
-        open_rows = np.flatnonzero(split & (doc == owner[kind]))
+            chosen = heads[several]
+            least[_places(offsets[several], lengths[several])] = solve(*_gather(raw, begins[chosen], begins[chosen] + size[chosen]), lengths[several], owner[several])
+        # Which windows of a content a document before its owner has.
+        of = np.repeat(np.arange(len(heads)), lengths)
+        inside = np.arange(len(of)) - offsets[of]
+        gone = least < owner[of]
+        run_kind, run_first, run_n = _pieces(gone, of, inside)
+        # Back to the rows: the owner's lose these windows, those of larger documents all.
+        runs = np.bincount(run_kind, minlength=len(heads))
+        whole, own = np.flatnonzero(larger), np.flatnonzero(~larger)
+        piece = _places((np.cumsum(runs) - runs)[kind[own]], runs[kind[own]])
+        row = np.concatenate((whole, np.repeat(own, runs[kind[own]])))
+        out_first = np.concatenate((np.zeros(len(whole), np.int64), run_first[piece]))
+        decided = runs_blob(chunk[row], at[row] + out_first, np.concatenate((n[whole], run_n[piece])))
+        tables = [_found(decided.column("chunk"), decided.column("runs"))]
         if len(open_rows):
-            texts = _gather(raw, begins[open_rows], begins[open_rows] + size[open_rows])
-            mine = np.isin(row, open_rows) & ~gone
-            who = {"doc": doc[row[mine]], "chunk": chunk[row[mine]], "place": inside[mine] + at[row[mine]]}
-            tables.append(_open_windows(cut(*texts), np.searchsorted(open_rows, row[mine]), inside[mine], who, window, shards))
-        return pa.concat_tables([t.select(["chunk", "runs", "keys", "part"]) for t in tables])
-
-    found = with_copies(flagged, copies).mapInArrow(candidates, SEGMENT).groupBy("shard", "salt").applyInArrow(shard, "chunk long, runs binary, keys binary, part long")
+            kinds = kind[open_rows]
+            texts = _gather(raw, begins[heads[kinds]], begins[heads[kinds]] + size[heads[kinds]])
+            places, number = _places(offsets[kinds], lengths[kinds]), np.repeat(np.arange(len(open_rows)), lengths[kinds])
+            places, number = places[~gone[places]], number[~gone[places]]
+            mine = open_rows[number]
+            who = {"doc": doc[mine], "chunk": chunk[mine], "place": inside[places] + at[mine]}
+            tables.append(_open_windows(cut(*texts), number, inside[places], who, window, shards))
+        return pa.concat_tables(tables)
+
+    found = with_copies(flagged, copies).mapInArrow(candidates, SEGMENT).groupBy("shard", "salt").applyInArrow(shard, FOUND)
     found = written(found, "repeated_runs")
     merged = found.where("part IS NOT NULL").groupBy("part").applyInArrow(_merge, RUN)
-    return found.where("part IS NULL").select("chunk", "runs").unionByName(merged), copies
+    return found.where("part IS NULL").select("chunk", "runs", "twins").unionByName(merged.withColumn("twins", F.lit(None).cast("binary"))), copies
 
 
+# A chunk's segments for a shard; below shard 0, its settled runs and its twins.
 SEGMENT = "shard long, salt long, chunk long, meta binary, words binary"
+SEGMENT_COLUMNS = ["shard", "salt", "chunk", "meta", "words"]
+FOUND = "chunk long, runs binary, twins binary, keys binary, part long"
 OPEN = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("chunk", "<i8"), ("place", "<i4")])
 
 
@@ -275,6 +327,12 @@ def with_copies(chunks: DataFrame, copies: DataFrame) -> DataFrame:
     return chunks.join(copies, "chunk", "left")
 
 
+def _found(chunk, runs=None, twins=None, keys=None, part=None) -> pa.Table:
+    columns = {"chunk": (chunk, pa.int64()), "runs": (runs, pa.binary()), "twins": (twins, pa.binary()), "keys": (keys, pa.binary()), "part": (part, pa.int64())}
+    n = max(len(x) for x, _ in columns.values() if x is not None)
+    return pa.table({k: pa.nulls(n, kind) if x is None else x for k, (x, kind) in columns.items()})
+
+
 def _open_windows(units: Units, number: np.ndarray, inside: np.ndarray, who: dict[str, np.ndarray], window: int, parts: int) -> pa.Table:
     """Windows of split anchors that this shard can't decide, sorted by hash, by ranges of the hash."""
     start = units.bounds[number] + inside
@@ -287,8 +345,7 @@ def _open_windows(units: Units, number: np.ndarray, inside: np.ndarray, who: dic
     part = (out["h1"] >> np.uint64(32)).astype(np.int64) * parts >> 32
     cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
     blobs = [x.tobytes() for x in np.split(out, cuts[1:])] if len(part) else []
-    n = len(blobs)
-    return pa.table({"chunk": pa.nulls(n, pa.int64()), "runs": pa.nulls(n, pa.binary()), "keys": pa.array(blobs, pa.binary()), "part": pa.array(part[cuts], pa.int64())})
+    return _found(None, keys=pa.array(blobs, pa.binary()), part=pa.array(part[cuts], pa.int64()))
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -323,18 +380,24 @@ def remove_repeats(
     """
     chunks = packed_texts(docs, id_col, text)
     runs, copies = repeated_runs(chunks, cut, window, gram, solve, shard_bytes, shard_heat)
-    of_chunk = runs.groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
+    of_chunk = runs.groupBy("chunk").agg(F.collect_list("runs").alias("runs"), F.collect_list("twins").alias("twins"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunk_rows(batches):
             ids, known, raw, bounds = unpacked(chunk)
             units = cut(raw, bounds)
             n = np.diff(units.bounds)
-            change = np.zeros(len(units.values) + 1, np.int32)
             found = np.frombuffer(b"".join(chunk["runs"] or []), RUN_KIND)
-            at = found["at"].astype(np.int64)
-            np.add.at(change, at, 1)
-            np.add.at(change, at + found["n"] + window - 1, -1)
+            twins = np.frombuffer(b"".join(chunk["twins"] or []), TWIN_KIND)
+            starts = np.zeros(len(units.values), bool)
+            starts[_places(found["at"].astype(np.int64), found["n"].astype(np.int64))] = True
+            like = starts[_places(twins["of"].astype(np.int64), twins["n"].astype(np.int64))]
+            starts[_places(twins["at"].astype(np.int64), twins["n"].astype(np.int64))[like]] = True
+            # From where repeated windows start to the end of the last of them.
+            edges = np.diff(starts.astype(np.int8), prepend=0, append=0)
+            change = np.zeros(len(units.values) + 1, np.int32)
+            change[np.flatnonzero(edges == 1)] = 1
+            change[np.flatnonzero(edges == -1) + window - 1] -= 1
             gone = np.cumsum(change)[:-1] > 0
             for text_no in chunk["copies"] or []:
                 if n[text_no] >= window:

@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import GroupedData
 
-from pricewright.llm import parity_join
+from pricewright.llm import parity_join, passages
 from pricewright.llm.fm_dedup import FMIndex, WaveletTree, remove_repeated_words
 from pricewright.llm.fm_dedup import solver as word_solver
 from pricewright.llm.line_dedup import LineRuns, dedup_lines
@@ -112,6 +114,33 @@ def test_words(odd, odd_rows, heat):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == want
 
 
+@pytest.mark.parametrize("heat", [7, 0])
+def test_a_passage_of_all_documents_is_sent_once_per_chunk(spark, monkeypatch, heat):
+    """The shards get a hot passage once, not once for every document; twice in each document, too."""
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, n))
+    passage = some(150)
+    rows = [(int(i), f"{some(3)} {passage} {some(2)} {passage} {some(3)}") for i in rng.permutation(200)]
+    sent = spark.sparkContext.accumulator(0)
+    plain, width = GroupedData.applyInArrow, sum(np.dtype(k).itemsize for k in passages.META.values())
+
+    def counting(self, func, schema):
+        def counted(table):
+            if "words" in table.column_names and table.column("shard")[0].as_py() >= 0:
+                sent.add(sum(len(zstandard.decompress(x)) // width for x in table.column("meta").to_pylist()))
+            return func(table)
+
+        return plain(self, counted, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = Counter()
+    for doc, u, gone in plain_repeats(rows, words, 50):
+        want[(doc, len(u), int(gone.sum()), " ".join(w for w, g in zip(u, gone) if not g))] += 1
+    assert rows_of(remove_repeated_words(docs, shard_heat=heat), "doc_id", "n_words", "n_removed", "kept") == want
+    assert 0 < sent.value < 200 * 6  # a passage has some eight segments, of which those at its ends differ
+
+
 def test_repeats_of_nothing(nothing):
     assert remove_repeated_bytes(nothing).count() == 0
     assert remove_repeated_words(nothing).count() == 0
