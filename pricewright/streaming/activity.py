@@ -6,10 +6,11 @@ In append mode a window appears once the watermark has passed its end.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricewright.functions import columns as C
+from pricewright.operators import skew
+from pricewright.streaming.chain import PreviousValues
 
 DELAY = "10 minutes"
 
@@ -70,52 +71,13 @@ def view_purchase_pairs(views: DataFrame, purchases: DataFrame, delay: str = DEL
     return v.join(p, near).select("user_id", "view_id", "view_ts", "view_value", "purchase_id", "purchase_ts", "purchase_value")
 
 
-def previous_value(events: DataFrame, delay: str = DELAY, forget_days: int = 400) -> DataFrame:
-    """Each event with its user's value before it, kept in state.
+def previous_value(events: DataFrame, delay: str = DELAY, forget_days: int | None = 400, hot_rows: int = skew.HOT_ROWS) -> PreviousValues:
+    """Each event with its user's value before it, for ``StreamTable.append``.
 
-    Events wait in the state until the watermark has passed them and leave in
-    the order of their time, so files may come in any order within ``delay``.
-    A user's last value is forgotten when ``forget_days`` pass without an event.
-    A user's state is one group: it holds the events of ``delay`` and those of
-    the batch at hand.
+    Events wait until the watermark has passed them and leave in the order of
+    their time, so files may come in any order within ``delay``. Events without
+    a time never leave. A user's last value is forgotten when ``forget_days``
+    pass without an event. Between batches one value is kept for each user;
+    users with more than ``hot_rows`` rows in a batch are chained in cells.
     """
-
-    # Defined here so that it reaches the workers by value.
-    def previous(key, batches, state):
-        ids, times, values, last = (list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in state.get) if state.exists else ([], [], [], None)
-        if not state.hasTimedOut:
-            for rows in batches:
-                ids += rows["event_id"].tolist()
-                times += rows["ts"].astype("datetime64[us]").astype("int64").tolist()
-                values += [None if pd.isna(v) else v for v in rows["value"].tolist()]
-        passed = state.getCurrentWatermarkMs()
-        held = sorted(zip(times, ids, values, strict=True), key=lambda x: x[:2])
-        out, waiting = [], []
-        for at, event, value in held:
-            if at <= passed * 1000:
-                out.append((event, key[0], pd.Timestamp(at, unit="us"), value, last))
-                last = value
-            else:
-                waiting.append((at, event, value))
-        if held or not state.hasTimedOut:
-            times, ids, values = ([x[i] for x in waiting] for i in range(3))
-            state.update((ids, times, values, last))
-            # Once more when the first waiting event is passed, or to forget.
-            state.setTimeoutTimestamp(max(passed + 1, -(-times[0] // 1000)) if times else passed + forget_days * 86_400_000)
-        else:
-            state.remove()
-        frame = pd.DataFrame(out, columns=["event_id", "user_id", "ts", "value", "previous"])
-        yield frame.astype({"event_id": "int64", "value": "float64", "previous": "float64"})
-
-    return (
-        events.withWatermark("ts", delay)
-        .select("event_id", "user_id", "ts", "value")
-        .groupBy("user_id")
-        .applyInPandasWithState(
-            previous,
-            "event_id bigint, user_id bigint, ts timestamp, value double, previous double",
-            "ids array<bigint>, times array<bigint>, waiting array<double>, last double",
-            "append",
-            "EventTimeTimeout",
-        )
-    )
+    return PreviousValues(events.select("event_id", "ts", "user_id", "value"), delay, forget_days, hot_rows)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pricewright.session import fresh_path
 from pricewright.sources.sinks import write_batch
+from pricewright.streaming.chain import PreviousValues
 
 # Rows of a stored table that one run takes.
 SLICE_ROWS = 2_000_000_000
@@ -51,16 +52,24 @@ class StreamTable:
     def late_path(self) -> str:
         return f"{self.root}/late"
 
-    def append(self, stream: DataFrame) -> StreamTable:
+    def append(self, stream: DataFrame | PreviousValues) -> StreamTable:
         """Process what is there and stop. The file sink's log makes a batch
-        count once even when it is written again after a failure."""
+        count once even when it is written again after a failure; chained
+        values have one directory per batch, which a replay overwrites."""
+        if isinstance(stream, PreviousValues):
+            late: dict[int, int] = {}
+
+            def chain(df: DataFrame, batch: int) -> None:
+                late[batch], self.watermark = stream.batch(self.spark, df, batch, self.root)
+
+            return self._run(stream.events.writeStream.foreachBatch(chain), late)
         return self._run(stream.writeStream.format("parquet").option("path", self.path).outputMode("append"))
 
     def append_batches(self, stream: DataFrame) -> StreamTable:
         """The same with one directory per batch, which a replay overwrites."""
         return self._run(stream.writeStream.foreachBatch(lambda df, batch: write_batch(df, batch, self.path)))
 
-    def arrive(self, rows: DataFrame, build: Callable[[], DataFrame], closes: Column | None = None) -> StreamTable:
+    def arrive(self, rows: DataFrame, build: Callable[[], DataFrame | PreviousValues], closes: Column | None = None) -> StreamTable:
         """Add ``rows`` to the arrivals folder and run ``build()`` over it.
 
         ``closes`` tells up to which time a row counts (its own time, or the end
@@ -78,7 +87,7 @@ class StreamTable:
         rows.write.mode("append").parquet(self.arrivals)
         return self.append(build())
 
-    def append_in_time_order(self, events: DataFrame, build: Callable[[str], DataFrame], rows: int = SLICE_ROWS, time: str = "ts") -> StreamTable:
+    def append_in_time_order(self, events: DataFrame, build: Callable[[str], DataFrame | PreviousValues], rows: int = SLICE_ROWS, time: str = "ts") -> StreamTable:
         """Feed a stored table to ``build(folder)``, oldest rows first.
 
         A table's files hold rows of any time, and a stream that takes some files
@@ -100,7 +109,8 @@ class StreamTable:
             self.append(build(self.arrivals))
         return self
 
-    def _run(self, writer) -> StreamTable:
+    def _run(self, writer, late: dict[int, int] | None = None) -> StreamTable:
+        """``late`` has the rows that a batch function found late, by batch."""
         query = writer.option("checkpointLocation", f"{self.root}/position").trigger(availableNow=True).start()
         last, dropped = -1, 0
 
@@ -120,16 +130,17 @@ class StreamTable:
             drain()
         finally:
             query.stop()
+        dropped += sum((late or {}).values())
         self.dropped_groups += dropped
         if dropped and not self.expect_late:
             raise LateRowsError(f"{self.label}: {dropped} rows or groups came after the watermark had passed them")
         return self
 
-    def read(self, stream: DataFrame) -> DataFrame:
-        return self.spark.read.schema(stream.schema).parquet(self.path)
+    def read(self, stream: DataFrame | PreviousValues) -> DataFrame:
+        return self.spark.read.schema(stream.schema).parquet(self.path).select(*stream.schema.names)
 
 
-def stream_table(spark: SparkSession, path: str, events: DataFrame, build: Callable[[str], DataFrame], label: str, rows: int = SLICE_ROWS) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, events: DataFrame, build: Callable[[str], DataFrame | PreviousValues], label: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Run ``build`` over the stored table at ``path`` and return what it emits.
 
     Up to ``rows`` rows are one batch, in which nothing is late, read where the

@@ -141,6 +141,37 @@ def test_previous_value_across_batches(spark):
     assert {r["event_id"]: r["previous"] for r in got.collect()} == {1: None, 2: 1.0, 3: None, 4: 2.0, 5: 3.0, 6: None}
 
 
+def test_previous_value_of_a_busy_user(spark):
+    """Chained in cells within a batch; one row per user and what waits goes on to the next."""
+    folder = fresh_path(spark, "arrivals")
+    table = StreamTable(spark, "t")
+    t = dt.datetime(2024, 1, 1, 12)
+    stream = lambda: activity.previous_value(load_stream(spark, folder), hot_rows=20)
+    rows = [(i, t + dt.timedelta(minutes=i // 3), 1 if i % 3 else 2 + i % 7, "view", None if i % 11 == 0 else float(i), None) for i in range(400)]
+    for part in (rows[:150], rows[150:], [(-1, t + dt.timedelta(days=2), -1, "closing", 0.0, None)]):
+        arrive(spark, folder, part[::-1])
+        table.append(stream())
+    got = {r["event_id"]: r["previous"] for r in table.read(stream()).collect()}
+    last, want = {}, {}
+    for event, _, user, _, value, _ in rows:
+        want[event], last[user] = last.get(user), value
+    assert got == want
+    kept = spark.read.parquet(f"{table.root}/state/batch=2")
+    assert sorted((r["user_id"], r["fresh"]) for r in kept.collect()) == sorted([*((u, False) for u in last), (-1, True)])
+
+
+def test_late_events_of_previous_value(spark):
+    folder = fresh_path(spark, "arrivals")
+    t = dt.datetime(2024, 1, 1, 12)
+    stream = lambda: activity.previous_value(load_stream(spark, folder))
+    table = StreamTable(spark, "t")
+    arrive(spark, folder, [(1, t, 1, "view", 1.0, None)])
+    table.append(stream())
+    arrive(spark, folder, [(2, t - dt.timedelta(hours=3), 1, "view", 1.0, None)])
+    with pytest.raises(LateRowsError):
+        table.append(stream())
+
+
 def test_a_replayed_batch_counts_once(spark):
     root = fresh_path(spark, "batches")
     first, again = (spark.range(n).withColumnRenamed("id", "event_id") for n in (3, 5))
