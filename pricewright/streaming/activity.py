@@ -71,13 +71,14 @@ def view_purchase_pairs(views: DataFrame, purchases: DataFrame, delay: str = DEL
     return v.join(p, near).select("user_id", "view_id", "view_ts", "view_value", "purchase_id", "purchase_ts", "purchase_value")
 
 
-def previous_value(events: DataFrame, delay: str = DELAY, forget_days: int | None = 400, hot_rows: int = skew.HOT_ROWS) -> PreviousValues:
+def previous_value(events: DataFrame, delay: str = DELAY, forget_days: int | None = None, hot_rows: int = skew.HOT_ROWS) -> PreviousValues:
     """Each event with its user's value before it, for ``StreamTable.append``.
 
     Events wait until the watermark has passed them and leave in the order of
     their time, so files may come in any order within ``delay``. Events without
-    a time never leave. A user's last value is forgotten when ``forget_days``
-    pass without an event. Between batches one value is kept for each user;
+    a time never leave. A user's last value is kept for good; only a live stream
+    may ask to forget it when ``forget_days`` pass without an event, which makes
+    the result depend on how the events are cut into batches. Between batches one value is kept for each user;
     users with more than ``hot_rows`` rows in a batch are chained in cells.
     """
     return PreviousValues(events.select("event_id", "ts", "user_id", "value"), delay, forget_days, hot_rows)

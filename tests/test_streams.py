@@ -11,9 +11,9 @@ from pricewright.plans.catalog import QUERIES
 from pricewright.plans.oracle import ORACLE
 from pricewright.session import fresh_path
 from pricewright.sources.sinks import write_batch, write_by_year
-from pricewright.sources.tables import load, load_stream
+from pricewright.sources.tables import load, load_stream, stream_path
 from pricewright.streaming import activity
-from pricewright.streaming.run import LateRowsError, StreamTable
+from pricewright.streaming.run import LateRowsError, StreamTable, stream_table
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 END = dt.datetime(2030, 1, 1)
@@ -160,6 +160,18 @@ def test_previous_value_of_a_busy_user(spark):
     assert sorted((r["user_id"], r["fresh"]) for r in kept.collect()) == sorted([*((u, False) for u in last), (-1, True)])
 
 
+@pytest.mark.parametrize("rows", [1 << 40, 2])
+def test_previous_value_over_a_long_gap(spark, rows, tmp_path):
+    """A stored table gives the same in one batch and in slices, however long a user was away."""
+    t = dt.datetime(2020, 1, 1)
+    days = [(1, 1), (2, 2), (3, 2), (600, 2), (601, 2), (1200, 1), (1201, 1), (1300, 3)]
+    arrive(spark, f"{tmp_path}/events.parquet", [(i, t + dt.timedelta(days=d), user, "view", float(i), None) for i, (d, user) in enumerate(days)])
+    emitted = stream_table(
+        spark, stream_path(str(tmp_path), "events"), load(spark, str(tmp_path), "events"), lambda folder: activity.previous_value(load_stream(spark, folder)), "gap", rows
+    )
+    assert {r["event_id"]: r["previous"] for r in emitted.collect()} == {0: None, 1: None, 2: 1.0, 3: 2.0, 4: 3.0, 5: 0.0, 6: 5.0}
+
+
 def test_late_events_of_previous_value(spark):
     folder = fresh_path(spark, "arrivals")
     t = dt.datetime(2024, 1, 1, 12)
