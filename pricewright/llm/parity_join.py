@@ -362,6 +362,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return joined.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "class", component.alias("component_id"), first.alias("first"), "mark")
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Every link: ``a``, ``b`` and ``links``, how many pairs of rows the two classes link.
+
+    Every pair of classes that shares a key is looked at, also inside a
+    component. A class is linked with itself where it has several rows. The
+    members of a class are the rows of ``jaccard_components`` with this
+    ``class``; the number of links is the sum of ``links``. The work grows with
+    the square of the classes that share a key, as the result may.
+    """
+    chunks = sketched(docs, id_col, text, words)
+    rows = written(documents_of(chunks), "sketched_documents")
+    keys = written(shared_keys(chunks, words, Limits(percent)).distinct(), "shared_keys")
+    classes = written(rows.where("size > 0").groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "text")).alias("at")), "classes")
+    wanted = classes.join(keys.select("class").distinct(), "class").select("at.chunk", "at.text")
+    sets = written(sets_of(chunks, wanted, words), "sets")
+    drawn = keys.join(sets.select("class", "size", *SKETCH), "class")
+    other = drawn.select(*[F.col(c).alias(f"other_{c}") for c in ("key", "class", "size", *SKETCH)])
+    near = (F.col("key") == F.col("other_key")) & (F.col("class") < F.col("other_class")) & may_be_similar(percent, "other_")
+    pairs = written(drawn.join(other, near).select(F.col("class").alias("a"), F.col("other_class").alias("b")).distinct(), "candidate_pairs")
+    counts = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"))
+    between = verified(pairs, sets, percent).join(counts, "a").join(counts.toDF("b", "n_b"), "b")
+    within = classes.where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.expr("n * (n - 1) div 2").alias("links"))
+    return between.select("a", "b", (F.col("n_a") * F.col("n_b")).alias("links")).unionByName(within)
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: one row of each component stays."""
     rows = jaccard_components(docs, id_col, text, words, percent).where("first")

@@ -14,7 +14,7 @@ from pricewright.llm import parity_join, passages
 from pricewright.llm.fm_dedup import FMIndex, WaveletTree, remove_repeated_words
 from pricewright.llm.fm_dedup import solver as word_solver
 from pricewright.llm.line_dedup import LineRuns, dedup_lines
-from pricewright.llm.parity_join import Limits, jaccard_components, sketch_keys, without_near_copies
+from pricewright.llm.parity_join import Limits, jaccard_components, jaccard_links, sketch_keys, without_near_copies
 from pricewright.llm.suffix_arrays import common_prefixes, suffix_array
 from pricewright.llm.suffix_dedup import remove_repeated_bytes
 from pricewright.llm.suffix_dedup import solver as byte_solver
@@ -225,6 +225,17 @@ def plain_components(rows, n, percent):
     return out, len({root(i) for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_every_link(odd, odd_rows, n, percent):
+    """Also links inside a component that others hold together."""
+    sets = [frozenset(shingle_set(text, n)) for _, text, *_ in odd_rows]
+    similar = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j])]
+    got = jaccard_links(odd.repartition(5, "doc_id"), words=n, percent=percent).collect()
+    assert sum(r["links"] for r in got) == len(pairs)
+    assert len({(r["a"], r["b"]) for r in got}) == len(got) == len({frozenset((sets[i], sets[j])) for i, j in pairs})
+
+
 @pytest.mark.parametrize("n,percent,rounds", [(3, 90, 2), (5, 80, 1), (3, 60, 0)])
 def test_components(odd, odd_rows, n, percent, rounds):
     got = jaccard_components(odd, words=n, percent=percent, rounds=rounds)
