@@ -207,7 +207,10 @@ def documents_of(chunks: DataFrame) -> DataFrame:
 
 
 def shared_keys(chunks: DataFrame, words: int, limits: Limits) -> DataFrame:
-    """``key`` and ``class`` where a key occurs in more than one class (or seems to)."""
+    """``key`` and ``class`` where a key occurs in more than one class (or seems to).
+
+    Each pair once, however many chunks hold copies of the class.
+    """
     total = chunks.agg(F.sum("n_keys")).first()[0] or 0
 
     def sketch(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +236,7 @@ def shared_keys(chunks: DataFrame, words: int, limits: Limits) -> DataFrame:
             use = heat | same_key | np.append(same_key[1:], False)
             yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64), pa.int64()), pa.array(of[use], pa.int64())], names=["key", "class"])
 
-    return flagged.select("chunk", *columns, "classes", "flags").mapInArrow(work, "key long, class long")
+    return flagged.select("chunk", *columns, "classes", "flags").mapInArrow(work, "key long, class long").distinct()
 
 
 def sets_of(chunks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -373,7 +376,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     """
     chunks = sketched(docs, id_col, text, words)
     rows = written(documents_of(chunks), "sketched_documents")
-    keys = written(shared_keys(chunks, words, Limits(percent)).distinct(), "shared_keys")
+    keys = written(shared_keys(chunks, words, Limits(percent)), "shared_keys")
     classes = written(rows.where("size > 0").groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "text")).alias("at")), "classes")
     wanted = classes.join(keys.select("class").distinct(), "class").select("at.chunk", "at.text")
     sets = written(sets_of(chunks, wanted, words), "sets")

@@ -225,6 +225,16 @@ def plain_components(rows, n, percent):
     return out, len({root(i) for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)
 
 
+def test_copies_share_keys_once(spark):
+    """Copies in several chunks do not multiply the rows of their class."""
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, base if i % 2 else base + " more") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    keys = parity_join.shared_keys(parity_join.sketched(docs, "doc_id", "text", 3), 3, Limits(90))
+    assert keys.select("class").distinct().count() == 2
+    assert keys.count() == keys.distinct().count()
+
+
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
 def test_every_link(odd, odd_rows, n, percent):
     """Also links inside a component that others hold together."""
