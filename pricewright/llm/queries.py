@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load
-from . import edit_counts, quality_rules, url_filter
+from . import edit_counts, quality_rules, source_audit, url_filter
 from .fm_dedup import remove_repeated_words
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -78,6 +78,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZE
     return after.select("doc_id", "n_before", "n_tokens", "n_matched", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(load(spark, sf_dir, "documents"))
+
+
 _OPERATORS = (
     op1_line_dedup,
     op2_suffix_array_dedup,
@@ -89,6 +93,7 @@ _OPERATORS = (
     op8_sentencepiece,
     op9_nearest_neighbours,
     op10_token_counts,
+    op13_source_audit,
 )
 QUERIES = {operator.__name__: operator for operator in _OPERATORS}
 
@@ -175,7 +180,26 @@ least_id AS (SELECT id, min(far) AS component FROM reach GROUP BY id)
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id
 FROM s LEFT JOIN c USING (sh) LEFT JOIN least_id ON c.id = least_id.id"""
 
+SOURCE_AUDIT_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+v AS (SELECT lang, term FROM d GROUP BY ALL HAVING count(DISTINCT row) >= {source_audit.MIN_DOCS}),
+s AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n FROM d JOIN v USING (lang, term) GROUP BY ALL),
+g AS (SELECT s.lang, s.source, v.term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY s.lang, s.source) AS total,
+        count(*) OVER (PARTITION BY s.lang, s.source) AS terms FROM s JOIN v ON s.lang = v.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = v.term),
+p AS (SELECT lang, source, term, n, 1 + {source_audit.BILLION}::HUGEINT * (n + 1) // (total + terms) AS p FROM g),
+w AS (SELECT lang, term, 1 + {source_audit.BILLION}::HUGEINT * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM g GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN w USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {source_audit.TOP}"""
+
 ORACLE = {
+    "op13_source_audit": SOURCE_AUDIT_SQL,
     "op2_suffix_array_dedup": BYTE_DEDUP_SQL,
     "op4_ngram_jaccard_join": JACCARD_SQL,
     "op7_substring_dedup": WORD_DEDUP_SQL,
