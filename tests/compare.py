@@ -9,7 +9,7 @@ import duckdb
 
 from pricewright.sources.tables import SCHEMAS
 
-KINDS = {"boolean": "BOOLEAN", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+KINDS = {"int": "INTEGER", "boolean": "BOOLEAN", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
 def connect(sf_dir: str):
