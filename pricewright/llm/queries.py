@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load
-from . import edit_counts, quality_rules, source_audit, url_filter
+from . import edit_counts, personal_data, quality_rules, source_audit, spelling_forms, url_filter
 from .fm_dedup import remove_repeated_words
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -78,6 +78,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZE
     return after.select("doc_id", "n_before", "n_tokens", "n_matched", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms.group_spellings(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = personal_data.find_personal_data(docs, personal_data.train(docs))
+    counts = [f"n_{kind}" for kind in personal_data.KINDS]
+    return out.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(load(spark, sf_dir, "documents"))
 
@@ -93,6 +104,8 @@ _OPERATORS = (
     op8_sentencepiece,
     op9_nearest_neighbours,
     op10_token_counts,
+    op11_spelling_forms,
+    op12_personal_data,
     op13_source_audit,
 )
 QUERIES = {operator.__name__: operator for operator in _OPERATORS}
@@ -198,7 +211,30 @@ every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
 r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every)
 SELECT * FROM r WHERE part = 'pair' OR rank <= {source_audit.TOP}"""
 
+SPELLING_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {spelling_forms.CRC_POLYNOMIAL}) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+o AS (SELECT doc_id, run, count(*) AS m FROM (
+        SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+      WHERE length(run) >= {spelling_forms.MIN_LETTERS} GROUP BY ALL),
+k AS (SELECT row_number() OVER () AS id, doc_id, run, m, hex(encode(doc_id || ':' || run)) AS h FROM o),
+r AS (SELECT id, h, 0 AS pos, 4294967295 AS c FROM k
+      UNION ALL SELECT id, h, pos + 1, xor(c >> 8, v) FROM r JOIN t ON t.i = xor(c & 255, ('0x' || substring(h, 2 * pos + 1, 2))::BIGINT) WHERE 2 * pos < length(h)),
+c AS (SELECT id, xor(c, 4294967295) AS c FROM r WHERE 2 * pos = length(h)),
+w AS (SELECT CASE WHEN c % {spelling_forms.DELETED} = 0 THEN substring(run, 1, c % length(run)) || substring(run, c % length(run) + 2) ELSE run END AS word, m FROM k JOIN c USING (id)),
+v AS (SELECT word, sum(m)::BIGINT AS n FROM w WHERE length(word) >= {spelling_forms.MIN_LETTERS} GROUP BY word HAVING sum(m) >= {spelling_forms.MIN_COUNT}),
+d AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS left_over FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.left_over = b.left_over AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.left_over = v.word
+      UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.left_over = v.word),
+f AS (SELECT v.word, v.n, count(near) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM v LEFT JOIN e ON v.word = e.word GROUP BY v.word, v.n),
+g AS (SELECT word, n, n_near, CASE WHEN near_n >= {spelling_forms.TIMES} * n THEN near END AS form, CASE WHEN near_n >= {spelling_forms.TIMES} * n THEN near_n END AS form_n FROM f),
+z AS (SELECT word, word AS far FROM g UNION ALL SELECT z.word, g.form FROM z JOIN g ON z.far = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, z.far AS root, g.n, g.n_near, g.form_n FROM g JOIN z ON g.word = z.word JOIN g last ON z.far = last.word AND last.form IS NULL"""
+
 ORACLE = {
+    "op11_spelling_forms": SPELLING_SQL,
     "op13_source_audit": SOURCE_AUDIT_SQL,
     "op2_suffix_array_dedup": BYTE_DEDUP_SQL,
     "op4_ngram_jaccard_join": JACCARD_SQL,
