@@ -37,7 +37,8 @@ BILLION = 1_000_000_000
 MIN_DOCS = 3
 TOP = 200
 SLICE_BYTES = 4_000_000
-BLOCK_ROWS = 200_000
+# Rows of terms in a block; each block hands on a sum for each pair of sources it has seen.
+BLOCK_ROWS = 50_000
 
 # Bytes of terms: ASCII letters and all that is not ASCII.
 _TERM_BYTES = np.zeros(256, bool)
@@ -121,7 +122,6 @@ def _corrections(kept: DataFrame, blocks: int) -> DataFrame:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """``lang``, ``source``, ``part``, ``item``, ``value`` and ``rank`` as described above."""
-    spark = docs.sparkSession
     added = counted_terms(docs, text, lang, source).groupBy("lang", "source", *TERM).agg(F.sum("n").alias("n"), F.sum("n_texts").alias("n_texts"))
     # A window over the few sources of a term; the rows that only name a group have no term.
     same = Window.partitionBy("lang", *TERM)
@@ -154,8 +154,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pairs = groups.alias("a").join(groups.alias("b"), "lang").where("a.source <> b.source")
     neither = (F.col("a.terms") - F.col("a.present") - F.col("b.present")) * F.coalesce(divergence(F.col("a.absent"), F.col("b.absent")), F.lit(0)).cast("decimal(19,0)")
     base = pairs.select("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item"), neither.cast(wide).alias("value"))
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shared.count() // BLOCK_ROWS)
-    both = _corrections(shared, blocks).withColumn("value", F.col("value").cast(wide))
+    both = _corrections(shared, 1 + kept.count() // BLOCK_ROWS).withColumn("value", F.col("value").cast(wide))
     summed = base.unionByName(forth).unionByName(back).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
     by_pair = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
     return by_pair.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank").unionByName(by_term)
