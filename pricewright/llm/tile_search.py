@@ -12,7 +12,8 @@ ranked union with a map-side limit. The result is exact.
 Defined cases: vectors that are null, zero or hold null or non-finite
 components take no part, nor do rows with a null id; vectors of different
 lengths are never compared; rows with the query's own id are not its candidates;
-other rows that repeat an id each count; ties go to the smaller id; extra
+other rows that repeat an id each count; of query rows that repeat an id the one with
+the smallest vector (compared by components) is asked; ties go to the smaller id; extra
 columns are not read; an empty table gives an empty table.
 """
 
@@ -29,6 +30,8 @@ from ..session import written
 
 BLOCK = 1024
 BLOCKS_PER_GROUP = 16
+# Dimensions whose products of int8 values add up to less than 2^24, exact in float32.
+EXACT = (1 << 24) // 127**2
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -69,13 +72,21 @@ def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values (held as float32, whose products of int8 are exact), scales and error lengths."""
+    """int8 values (held as float32, see ``products``), scales and error lengths."""
     scale = np.abs(unit).max(axis=1) / 127
     values = np.rint(unit / scale[:, None]).astype(np.int8)
     error = np.sqrt(((unit - values * scale[:, None]) ** 2).sum(axis=1))
     return values.astype(np.float32), scale, error
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact sums of products of int8 values: float32 holds those of ``EXACT`` dimensions, float64 their total."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], EXACT):
+        out += a[:, at : at + EXACT] @ b[:, at : at + EXACT].T
+    return out
+
+
 def _block(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
 
@@ -89,7 +100,7 @@ def search_group(queries: tuple[np.ndarray, np.ndarray], candidates: list[tuple[
     for c_ids, c in candidates:
         c_norm = np.sqrt((c * c).sum(axis=1))
         c_values, c_scale, c_error = quantised(c / c_norm[:, None])
-        near = (q_values @ c_values.T).astype(np.float64) * q_scale[:, None] * c_scale
+        near = products(q_values, c_values) * q_scale[:, None] * c_scale
         # |xy - x'y'| <= |x - x'| + |y - y'| + |x - x'||y - y'| for unit x, y; a little more for rounding.
         bound = q_error[:, None] + c_error + q_error[:, None] * c_error + 1e-9
         other = q_ids[:, None] != c_ids
@@ -118,7 +129,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     candidate blocks).
     """
     candidate_blocks = written(packed(usable(vectors, id_col, vector), block).withColumn("block", F.monotonically_increasing_id()), "candidate_blocks")
-    query_blocks = written(packed(usable(queries, id_col, vector), block).withColumn("block", F.monotonically_increasing_id()), "query_blocks")
+    asked = usable(queries, id_col, vector).groupBy("id").agg(F.min("v").alias("v"))
+    query_blocks = written(packed(asked, block).withColumn("block", F.monotonically_increasing_id()), "query_blocks")
     n_ranges = max(1, -(-candidate_blocks.count() // blocks_per_group))
     # A query block meets every range once; a candidate block meets every query block once.
     q = query_blocks.select("dim", F.col("block").alias("q_block"), "ids", "vectors").withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n_ranges - 1))))
