@@ -17,7 +17,8 @@ group of a thousand near copies costs a thousand comparisons and not a million.
 Where a key's classes are still in several components, the join compares the
 short sketches of classes of different components: only pairs whose sketches
 differ in no more bits than similar sets may are let through, and no link between
-components is missed. Every candidate is verified on whole sets.
+components is missed. Candidates are then compared by sketches that grow with
+their sets, and those left are verified on whole sets.
 
 Defined cases: a null or empty text has an empty set and links with nothing; its
 component is its own id; a null id counts as larger than all others; each row is
@@ -43,8 +44,9 @@ from .textbytes import byte_values, gram_hashes, lower_ascii, mix, prefix_sums,
 WORDS = 3
 PERCENT = 90
 PART_BITS = 1 << 32
-# Spare parts, as a share of the parts.
+# Spare parts, as a share of the parts, and how many deviations above the expected number of empty parts.
 SPARE = 0.04
+DEVIATIONS = 3
 # Words of 64 bits in the short sketch that a class carries into the last comparison.
 SHORT = 8
 ROUNDS = 2
@@ -74,8 +76,19 @@ class Limits:
 
     @cached_property
     def spare(self) -> np.ndarray:
-        """Parts on top of that, except where equality is all that is similar."""
-        return np.where(self.needed > 1, np.ceil(self.needed * SPARE).astype(np.int64), 0)
+        """Parts on top of that, except where equality is all that is similar.
+
+        The smallest sets of a band leave the most parts empty. There are more
+        spares than such a set has empty parts, but for rare cases: those have to
+        offer their empty parts as keys, in which strangers agree.
+        """
+        smallest = self.starts[:-1]
+        spare = np.ceil(self.needed * SPARE)
+        for _ in range(8):  # more parts leave more of them empty
+            parts = self.needed + spare
+            empty = parts * np.exp(-smallest / parts)
+            spare = np.minimum(np.maximum(spare, np.ceil(empty + DEVIATIONS * np.sqrt(empty))), self.needed)
+        return np.where(self.needed > 1, spare.astype(np.int64), 0)
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
@@ -155,6 +168,23 @@ def short_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity sketches of one to two bits per shingle, a power of two of words each."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    words = 1 << np.ceil(np.log2(np.maximum(np.diff(bounds), 64) / 64)).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(words)))
+    out = np.zeros(first[-1], np.uint64)
+    bit = mix(hashes ^ np.uint64(0x3C6EF372FE94F82B)) & (words[owner] * 64 - 1).astype(np.uint64)
+    np.bitwise_xor.at(out, first[owner] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return [out[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """In how many bits two long sketches differ, the longer one folded to the size of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 CHUNK = "chunk long, ids binary, known binary, bounds binary, texts binary, n_bytes long, sizes binary, classes binary, marks binary, n_keys long"
 
 
@@ -255,10 +285,10 @@ def sets_of(chunks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(hashes.view(np.int64)))
             classes = np.frombuffer(chunk["classes"], np.int64)[asked]
             short = [pa.array(s.view(np.int64), pa.int64()) for s in np.ascontiguousarray(short_sketches(hashes, of).T)]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists, pa.array(np.diff(of), pa.int64()), *short], names=["class", "set", "size", *SKETCH])
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists, pa.array(np.diff(of), pa.int64()), pa.array(long_sketches(hashes, of), pa.binary()), *short], names=["class", "set", "size", "sketch", *SKETCH])
 
     columns = ["chunk", "ids", "known", "bounds", "texts", "n_bytes", "classes", "asked"]
-    return chunks.join(asked, "chunk").select(*columns).mapInArrow(work, "class long, set array<long>, size long, " + ", ".join(f"{s} long" for s in SKETCH))
+    return chunks.join(asked, "chunk").select(*columns).mapInArrow(work, "class long, set array<long>, size long, sketch binary, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 SKETCH = [f"sketch{i}" for i in range(SHORT)]
@@ -273,11 +303,26 @@ def may_be_similar(percent: int, other: str) -> Column:
 
 
 def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that short sketches can't tell apart; whole sets are moved for these only."""
+    """The pairs that sketches can't tell apart, short ones first; whole sets are moved for these only.
+
+    A short sketch lets strangers with some 1,000 shingles through; a long one grows with its set.
+    """
     short = sets.select("class", "size", *SKETCH)
     other = short.select(*[F.col(c).alias(f"other_{c}") for c in short.columns])
     both = pairs.join(short.withColumnRenamed("class", "a"), "a").join(other.withColumnRenamed("other_class", "b"), "b")
-    return both.where(may_be_similar(percent, "other_")).select("a", "b")
+    near = both.where(may_be_similar(percent, "other_")).select("a", "b", (F.col("size") + F.col("other_size")).alias("sum"))
+    left = sets.select(F.col("class").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("sketch").alias("sketch_b"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = [sketches_differ(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            most = (100 - percent) * batch.column(2).to_numpy()
+            close = pa.array((100 + percent) * np.array(differ, np.int64) <= most, pa.bool_())
+            yield batch.select(["a", "b"]).filter(close)
+
+    with_sketches = near.join(left, "a").join(right, "b").select("a", "b", "sum", "sketch_a", "sketch_b")
+    return with_sketches.mapInArrow(work, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -347,8 +392,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidate_pairs")
-        likely = pairs if number == rounds else likely_pairs(pairs, sets, percent)
-        found = written(verified(likely, sets, percent), "verified_pairs")
+        found = written(verified(written(likely_pairs(pairs, sets, percent), "likely_pairs"), sets, percent), "verified_pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -385,7 +429,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     near = (F.col("key") == F.col("other_key")) & (F.col("class") < F.col("other_class")) & may_be_similar(percent, "other_")
     pairs = written(drawn.join(other, near).select(F.col("class").alias("a"), F.col("other_class").alias("b")).distinct(), "candidate_pairs")
     counts = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"))
-    between = verified(pairs, sets, percent).join(counts, "a").join(counts.toDF("b", "n_b"), "b")
+    between = verified(written(likely_pairs(pairs, sets, percent), "likely_pairs"), sets, percent).join(counts, "a").join(counts.toDF("b", "n_b"), "b")
     within = classes.where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.expr("n * (n - 1) div 2").alias("links"))
     return between.select("a", "b", (F.col("n_a") * F.col("n_b")).alias("links")).unionByName(within)
 

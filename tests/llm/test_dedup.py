@@ -301,3 +301,26 @@ def test_short_sketches_never_differ_more_than_sets():
         a, b = (np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in rng.integers(1, 300, 2))
         both = parity_join.short_sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
         assert np.bitwise_count(both[0] ^ both[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_long_sketches_never_differ_more_than_sets_and_tell_strangers_apart():
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+    for n in (1, 63, 64, 65, 1000, 5000, 20_000):
+        common, more, fewer = draw(n), draw(n // 8 + 1), draw(n // 8 + 1)
+        a, b = np.union1d(common, more), np.union1d(common, fewer)
+        x, y = parity_join.long_sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        assert parity_join.sketches_differ(x, y) <= len(np.setxor1d(a, b))
+        if n > 100:
+            stranger = draw(len(a))
+            (z,) = parity_join.long_sketches(stranger, np.array([0, len(stranger)]))
+            assert 180 * parity_join.sketches_differ(x, z) > 20 * (len(a) + len(stranger))
+
+
+@pytest.mark.parametrize("size", [60, 100, 300, 1100, 3000])
+def test_strangers_share_no_keys(size):
+    """Empty parts are the same in strangers; hardly any set has to offer them."""
+    rng = np.random.default_rng(size)
+    hashes = np.sort(rng.integers(0, 1 << 63, (1000, size), dtype=np.int64).astype(np.uint64), axis=1).ravel()
+    keys, _ = sketch_keys(hashes, np.arange(0, 1001 * size, size), Limits(80))
+    assert np.unique(keys, return_counts=True)[1].max() <= 5
