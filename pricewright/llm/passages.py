@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
 from .repeats import chunk_rows, heats, known_ids, packed_texts, unpacked, with_flags
-from .textbytes import byte_values, gram_hashes, mix, prefix_sums, sliding_min, span_hashes, words_of
+from .textbytes import Sums, byte_values, gram_hashes, mix, prefix_sums, sliding_min, span_hashes, words_of
 
 # Text per shard; of it, a shard gets the segments that may repeat.
 SHARD_BYTES = 3_500_000
@@ -87,7 +87,7 @@ class Segments:
     anchor: np.ndarray
 
 
-def segments_of(units: Units, sums: np.ndarray, window: int, gram: int) -> Segments:
+def segments_of(units: Units, sums: Sums, window: int, gram: int) -> Segments:
     least = sliding_min(gram_hashes(sums, gram), window - gram + 1)
     owner = np.repeat(np.arange(len(units.bounds) - 1), np.diff(units.bounds))
     n = len(least)

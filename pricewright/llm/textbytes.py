@@ -1,12 +1,16 @@
 """Vectorised work on the bytes of a batch of texts, for use inside tasks.
 
 A batch is one uint8 array with the texts one after another and an int64 array
-of bounds. Hashes are 64-bit polynomials, taken from prefix sums modulo 2^64,
-so that every gram of a batch costs a few array operations.
+of bounds. Hashes are polynomials, taken from prefix sums, so that every gram of
+a batch costs a few array operations. Modulo 2^64 alone, strings such as the two
+Thue-Morse sequences collide for any base; a second polynomial modulo the prime
+2^31 - 1 tells them apart, and both are mixed into 64 bits.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,6 +23,10 @@ _LOWER[0x41:0x5B] += 32
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
+# The prime field, with a base of its own.
+_P = (1 << 31) - 1
+_Q = 1_532_864_291
+_Q_INV = pow(_Q, -1, _P)
 _BYTES = np.random.default_rng(20_24).integers(1, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -63,11 +71,39 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times rising powers, modulo 2^64."""
-    out = np.zeros(len(values) + 1, np.uint64)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is equal modulo ``_P``."""
+    return (x & np.uint64(_P)) + (x >> np.uint64(31))
+
+
+def _field_powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo ``_P``, by doubling, kept for the next call."""
+    have = _kept.get(-base)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < n:
+            have = np.concatenate((have, have * np.uint64(pow(base, len(have), _P)) % np.uint64(_P)))
+        _kept[-base] = have
+    return have[:n]
+
+
+@dataclass
+class Sums:
+    """Prefix sums of values times rising powers, modulo 2^64 and in the prime field (unreduced)."""
+
+    ring: np.ndarray
+    field: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ring)
+
+
+def prefix_sums(values: np.ndarray) -> Sums:
+    """Of up to 2^32 values."""
+    out = Sums(np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64))
     with np.errstate(over="ignore"):
-        np.cumsum(values * _powers(_R, len(values)), out=out[1:])
+        np.cumsum(values * _powers(_R, len(values)), out=out.ring[1:])
+    np.cumsum(_fold((values >> np.uint64(33)) * _field_powers(_Q, len(values))), out=out.field[1:])
     return out
 
 
@@ -75,19 +111,30 @@ def byte_values(raw: np.ndarray) -> np.ndarray:
     return _BYTES[raw]
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hashes(ring: np.ndarray, field: np.ndarray, ring_scale: np.ndarray, field_scale: np.ndarray) -> np.ndarray:
+    """Both differences moved to the start of the powers, as one hash."""
+    reduced = _fold(_fold(_fold(_fold(field)) * field_scale))
+    reduced[reduced >= _P] -= np.uint64(_P)
+    with np.errstate(over="ignore"):
+        return mix(ring * ring_scale ^ reduced * _R)
+
+
+def span_hashes(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the values of each span; equal spans have equal hashes."""
     with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * _powers(_R_INV, len(sums))[starts])
+        ring = sums.ring[ends] - sums.ring[starts]
+    field = sums.field[ends] - sums.field[starts]
+    return _hashes(ring, field, _powers(_R_INV, len(sums))[starts], _field_powers(_Q_INV, len(sums))[starts])
 
 
-def gram_hashes(sums: np.ndarray, m: int) -> np.ndarray:
+def gram_hashes(sums: Sums, m: int) -> np.ndarray:
     """Hash of every run of ``m`` values."""
     n = len(sums) - m
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        return mix((sums[m:] - sums[:n]) * _powers(_R_INV, n))
+        ring = sums.ring[m:] - sums.ring[:n]
+    return _hashes(ring, sums.field[m:] - sums.field[:n], _powers(_R_INV, n), _field_powers(_Q_INV, n))
 
 
 def words_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

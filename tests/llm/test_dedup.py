@@ -18,6 +18,7 @@ from pricewright.llm.parity_join import Limits, jaccard_components, jaccard_link
 from pricewright.llm.suffix_arrays import common_prefixes, suffix_array
 from pricewright.llm.suffix_dedup import remove_repeated_bytes
 from pricewright.llm.suffix_dedup import solver as byte_solver
+from pricewright.llm.textbytes import gram_hashes, prefix_sums, span_hashes
 
 BLANKS = " \t\n\x0b\f\r"
 LAST = 1 << 63
@@ -324,3 +325,32 @@ def test_strangers_share_no_keys(size):
     hashes = np.sort(rng.integers(0, 1 << 63, (1000, size), dtype=np.int64).astype(np.uint64), axis=1).ravel()
     keys, _ = sketch_keys(hashes, np.arange(0, 1001 * size, size), Limits(80))
     assert np.unique(keys, return_counts=True)[1].max() <= 5
+
+
+def _twins():
+    """A long word and its a/b-swapped twin in Thue-Morse order, which collide modulo 2^64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_twin_words_are_different_texts(spark):
+    one, other = _twins()
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in parity_join.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_windows_of_twin_words_do_not_repeat(spark):
+    shared, (one, other) = " ".join(f"w{i}" for i in range(49)), _twins()
+    docs = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {other}"), (3, f"x {shared} {one}")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in remove_repeated_words(docs).collect()}
+    assert got == {1: (0, f"{shared} {one}"), 2: (0, f"{shared} {other}"), 3: (50, "x")}
+
+
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=60), st.integers(0, 40))
+def test_span_hashes_do_not_depend_on_the_place(values, before):
+    x = np.array(values, np.uint64)
+    moved = np.concatenate((np.full(before, 7, np.uint64), x))
+    here = span_hashes(prefix_sums(x), np.array([0]), np.array([len(x)]))
+    there = span_hashes(prefix_sums(moved), np.array([before]), np.array([before + len(x)]))
+    assert here == there == gram_hashes(prefix_sums(moved), len(x))[-1]
