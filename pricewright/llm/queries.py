@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import load
@@ -14,7 +17,7 @@ from .piece_codec import encode_documents
 from .suffix_dedup import remove_repeated_bytes
 from .tile_search import nearest
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
