@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricewright.llm import quality_rules
@@ -20,7 +21,7 @@ from pricewright.session import written
 from pricewright.sources.tables import load
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _documents(df: DataFrame) -> DataFrame:
