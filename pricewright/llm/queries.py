@@ -11,7 +11,7 @@ from ..sources.tables import load
 from . import edit_counts, personal_data, quality_rules, source_audit, spelling_forms, url_filter
 from .fm_dedup import remove_repeated_words
 from .line_dedup import dedup_lines
-from .mixing import mix_sources
+from .mixing import KEYS, mix_sources
 from .parity_join import jaccard_components
 from .piece_codec import encode_documents
 from .suffix_dedup import remove_repeated_bytes
@@ -49,10 +49,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    keys = ["__id", "__text_hash", "part"]
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    return mix.documents.alias("d").join(mix.taken().alias("t"), same, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEYS]
+    return mix.documents.alias("d").join(mix.taken().hint("merge").alias("t"), same, "left").select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
     )
 
 

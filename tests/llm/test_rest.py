@@ -1,5 +1,6 @@
 """Quality rules, mixing, encoding, search, URLs and edit-aware counts against plain versions."""
 
+import dataclasses
 import random
 import re
 from collections import Counter
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import connect, differences
 from pricewright.llm import edit_counts, queries, quality_rules, url_filter
-from pricewright.llm.mixing import mix_sources, permuted
+from pricewright.llm import mixing
+from pricewright.llm.mixing import KEYS, mix_sources, permuted
 from pricewright.llm.piece_codec import ChunkCodec, encode_documents
 from pricewright.llm.tile_search import nearest, search_group
 
@@ -92,15 +94,17 @@ def plain_targets(sizes, weights=(3, 1, 2)):
 
 def _taken(mix):
     return {
-        (r["doc_id"], r["source"], r["__text_hash"], r["part"]): (r["size"], r["source_size"], r["target"], r["taken"] or 0)
-        for r in mix.documents.join(mix.taken().withColumnsRenamed({k: f"of{k}" for k in ("__id", "__text_hash", "part")}),
-            F.col("__id").eqNullSafe(F.col("of__id")) & (F.col("__text_hash") == F.col("of__text_hash")) & (F.col("part") == F.col("ofpart")), "left").collect()
+        (r["doc_id"], r["source"], r["__text_hash"], r["__part"]): (r["__size"], r["__source_size"], r["__target"], r["taken"] or 0)
+        for r in mix.documents.join(mix.taken().withColumnsRenamed({k: f"of{k}" for k in KEYS}),
+            [F.col(k).eqNullSafe(F.col(f"of{k}")) for k in KEYS], "left").collect()
     }
 
 
 def test_mix(odd, odd_rows):
-    docs = odd.drop("size")
-    got = _taken(mix_sources(docs, block_words=16))
+    docs = odd.withColumn("target", F.lit("mine"))
+    mix = mix_sources(docs, block_words=16)
+    assert {(r["size"], r["target"], r["kept"]) for r in mix.documents.collect()} == {(1.5, "mine", "kept")}
+    got = _taken(mix)
     assert len(got) == len(odd_rows)
     sizes = Counter()
     for _, text, source in odd_rows:
@@ -116,7 +120,7 @@ def test_mix(odd, odd_rows):
 
 
 def test_mixed_texts_hold_what_is_taken(odd):
-    mix = mix_sources(odd.drop("size"), block_words=16)
+    mix = mix_sources(odd, block_words=16)
     want = Counter()
     for (doc, *_), (*_, n) in _taken(mix).items():
         want[doc] += n
@@ -127,7 +131,41 @@ def test_mixed_texts_hold_what_is_taken(odd):
     blocks = mix.blocks().collect()
     assert sum(len(words(b["text"])) for b in blocks) == sum(want.values())
     assert max(Counter((b["source_no"], b["pass"], b["block"]) for b in blocks).values()) == 1
-    assert mix.shard_counts().agg(F.sum("count")).first()[0] == len(blocks)
+    assert mix.counts.agg(F.sum("n")).first()[0] == len(blocks)
+
+
+def test_the_mix_is_what_the_shards_drew(odd, monkeypatch):
+    """Every shard has its places filled, by sources as a plain draw of tickets; what a shard drew is what is taken for it."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 3)
+    mix = mix_sources(odd, block_words=16)
+    counts = mix.counts.collect()
+    slots = {r["source_no"]: r["slots"] for r in mix.sources.collect() if r["slots"]}
+    total = sum(slots.values())
+    of_shard, of_source = Counter(), Counter()
+    for r in sorted(counts, key=lambda r: r["shard"]):
+        assert r["first"] == of_source[r["source_no"]]
+        of_shard[r["shard"]] += r["n"]
+        of_source[r["source_no"]] += r["n"]
+    assert of_source == slots and len(of_shard) > 3
+    assert [of_shard[i] for i in range(len(of_shard))] == [100] * (total // 100) + [total % 100] * (total % 100 > 0)
+    # Of each shard about the sources' shares: within five deviations of the draw.
+    for r in counts:
+        size, share = of_shard[r["shard"]], slots[r["source_no"]] / total
+        assert abs(r["n"] - size * share) <= 5 * (size * share * (1 - share)) ** 0.5 + 1
+    assert mix.pieces.agg(F.sum("n_words")).first()[0] == sum(s["source_size"] for s in mix.sources.collect())
+    parts = [dataclasses.replace(mix, counts=mix.counts.where(F.col("shard") % 2 == i)) for i in (0, 1)]
+    taken = [Counter({tuple(r[k] for k in KEYS): r["taken"] for r in m.taken().collect()}) for m in (mix, *parts)]
+    assert taken[0] == taken[1] + taken[2] and taken[1] and taken[2]
+    other = mix_sources(odd, block_words=16, seed=8).counts.collect()
+    assert {tuple(r) for r in other} != {tuple(r) for r in counts}
+
+
+def test_joins_of_the_mix_do_not_broadcast_what_grows(odd):
+    mix = mix_sources(odd, block_words=16)
+    for df in (mix.taken(), mix.slots):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_permutation(spark):
@@ -137,7 +175,7 @@ def test_permutation(spark):
 
 
 def test_mix_of_nothing(nothing):
-    assert mix_sources(nothing.drop("size")).taken_texts().count() == 0
+    assert mix_sources(nothing).taken_texts().count() == 0
 
 
 # -- pieces ------------------------------------------------------------------------------
