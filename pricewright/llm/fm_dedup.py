@@ -1,13 +1,24 @@
-"""Substring dedup over words with an FM-index per shard.
-
-``passages`` deals segments that may repeat to shards. A shard indexes its
-distinct segments: the Burrows-Wheeler transform of their words is held in a
-wavelet tree of packed bits with counts per 64-bit word. Then the segments are
-streamed: backward search extends each from its last word to the left, all of
-them in step, two ranks per word. It yields matching statistics: how many words
-from here on occur in the index, and where in the suffix order. Once the match is
-at least a window long, its place tells which class of equal windows it is
-in, and so the smallest document that holds this window.
+"""Substring dedup over words with FM-indexes per shard.
+
+``passages`` deals segments that may repeat to shards. Equal windows share an
+anchor, so only segments of one anchor are compared, and of those only a later
+document's with an earlier one's. The documents of an anchor are numbered in
+order; at level l the segments whose number has bit l clear are indexed and those
+that have it set are streamed, both within the node of equal higher bits. Every
+two documents of an anchor meet at one level, in one node. A level has one index
+for all its nodes, as the nodes' words are different symbols.
+
+An index is the Burrows-Wheeler transform in a wavelet tree of packed bits with
+counts per 64-bit word, and what neighbouring rows share, up to a window, in one
+byte with block minima. Backward search extends each streamed segment from its
+last word to the left, all of them in step. Where a row can't be extended, the
+nearest rows above and below that can be take over, with what they share. This
+gives matching statistics: how many words from here on occur in an earlier
+document. Windows whose statistic reaches the window length are reported. The
+suffixes of a shard are sorted once; a level's rows are a part of them.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing
+names are as ``passages`` defines them.
 """
 
 from __future__ import annotations
@@ -48,69 +59,200 @@ class WaveletTree:
             start, *places = (self._step(k, one, p) for p in (start, *places))
         return [p - start for p in places]
 
+    def access(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it stands before."""
+        symbol, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        for k in range(self.levels):
+            one = (self.bits[k][place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+            symbol = symbol << 1 | one
+            start, place = self._step(k, one, start), self._step(k, one, place)
+        return symbol, place - start
+
+    def select(self, symbol: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Where each symbol stands for the k-th time, from 0; it must."""
+        start, sides = np.zeros(len(symbol), np.int64), []
+        for level in range(self.levels):
+            sides.append((symbol >> (self.levels - 1 - level)) & 1 == 1)
+            start = self._step(level, sides[-1], start)
+        place = start + k
+        for level in range(self.levels - 1, -1, -1):
+            one = sides[level]
+            counts = self.counts[level].astype(np.int64)
+            clear = 64 * np.arange(len(counts)) - counts
+            left = np.where(one, place - self.zeros[level], place)
+            word = np.where(one, np.searchsorted(counts, left, "right"), np.searchsorted(clear, left, "right")) - 1
+            left = left - np.where(one, counts[word], clear[word])
+            bits = np.where(one, self.bits[level][word], ~self.bits[level][word])
+            inside = np.zeros(len(word), np.int64)
+            for width in (32, 16, 8, 4, 2, 1):
+                below = np.bitwise_count((bits >> inside.astype(np.uint64)) & _LOW[width]).astype(np.int64)
+                inside, left = np.where(left >= below, inside + width, inside), np.where(left >= below, left - below, left)
+            place = (word << 6) + inside
+        return place
+
     def _step(self, k: int, one: np.ndarray, place: np.ndarray) -> np.ndarray:
         ones = self.counts[k][place >> 6] + np.bitwise_count(self.bits[k][place >> 6] & _LOW[place & 63]).astype(np.int64)
         return np.where(one, self.zeros[k] + ones, place - ones)
 
 
+class Least:
+    """Smallest value of ranges of a sequence: within blocks, and doubling runs of whole blocks."""
+
+    BLOCK = 16
+
+    def __init__(self, values: np.ndarray):
+        n_blocks = len(values) // self.BLOCK + 1
+        self.values = np.full(n_blocks * self.BLOCK, np.iinfo(values.dtype).max, values.dtype)
+        self.values[: len(values)] = values
+        blocks = self.values.reshape(n_blocks, self.BLOCK)
+        self.upto = np.minimum.accumulate(blocks, axis=1).ravel()
+        self.since = np.ascontiguousarray(np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]).ravel()
+        runs, step = [blocks.min(axis=1)], 1
+        while 2 * step <= n_blocks:
+            runs.append(np.minimum(runs[-1][:-step], runs[-1][step:]))
+            step *= 2
+        self.offsets = np.concatenate(([0], np.cumsum([len(r) for r in runs])))
+        self.runs = np.concatenate(runs)
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Over ``low`` to ``high`` (exclusive), which must not be empty."""
+        last = high - 1
+        first_block, last_block = low // self.BLOCK, last // self.BLOCK
+        out = np.minimum(self.since[low], self.upto[last])
+        within = np.flatnonzero(first_block == last_block)
+        cells = low[within, None] + np.arange(self.BLOCK)
+        out[within] = self.values[np.minimum(cells, last[within, None])].min(axis=1)
+        far = np.flatnonzero(last_block - first_block > 1)
+        begin, end = first_block[far] + 1, last_block[far]
+        k = np.frexp(end - begin)[1] - 1
+        whole = np.minimum(self.runs[self.offsets[k] + begin], self.runs[self.offsets[k] + end - (1 << k)])
+        out[far] = np.minimum(out[far], whole)
+        return out
+
+
 class FMIndex:
-    """Index of segments of integers above 0; equal windows form classes."""
+    """Rows in the order of their suffixes, for matching statistics up to ``window``.
 
-    def __init__(self, values: np.ndarray, bounds: np.ndarray, window: int):
-        # Number 0 ends every segment.
-        n_segments = len(bounds) - 1
-        ends = bounds[1:] + np.arange(n_segments)
-        text = np.zeros(len(values) + n_segments, np.int64)
-        held = np.ones(len(text), bool)
-        held[ends] = False
-        text[held] = values
-        spread = np.concatenate(([0], ends + 1))
-        order, rank = suffix_array(text, spread)
-        shared = common_prefixes(text, spread, order, rank, window)
-        self.window, self.n = window, len(text)
-        self.classes = np.cumsum(np.concatenate(([True], shared[1:] < window))) - 1
-        before = np.zeros(len(text), np.int64)
-        before[1:] = text[:-1]
-        before[spread[:-1]] = 0
-        symbols = int(text.max()) + 1
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
-        self.tree = WaveletTree(before[order], symbols)
-
-    def match(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics of streamed segments: match lengths, and the class of the window there or -1."""
-        lengths, classes = np.zeros(len(values), np.int64), np.full(len(values), -1)
-        at = bounds[1:] - 1
-        first = bounds[:-1]
-        live = at >= first
-        at, first = at[live], first[live]
-        low, high, length = np.zeros(len(at), np.int64), np.full(len(at), self.n), np.zeros(len(at), np.int64)
+    ``first`` and ``before`` are the symbols at and before each suffix, ``shared``
+    is what a row has in common with the row above it.
+    """
+
+    def __init__(self, first: np.ndarray, before: np.ndarray, shared: np.ndarray, symbols: int, window: int):
+        self.window = window
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=symbols))))
+        self.tree = WaveletTree(before, symbols)
+        self.shared = Least(shared)
+
+    def match(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each place of the streamed segments: how many symbols from there on occur in the index.
+
+        A symbol below 0 is one that the index doesn't have.
+        """
+        lengths = np.zeros(len(symbols), np.int64)
+        at, first = bounds[1:] - 1, bounds[:-1]
+        at, first = at[at >= first], first[at >= first]
+        row, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         while len(at):
-            symbol = values[at]
-            below, upto = self.tree.rank(symbol, [low, high])
-            low, high = self.starts[symbol] + below, self.starts[symbol] + upto
-            # Streamed segments are indexed too, so a match can always be extended.
-            length = np.where(high > low, length + 1, 0)
+            symbol = symbols[at]
+            known = symbol >= 0
+            before, rank = self.tree.access(row)
+            same = known & (before == symbol)
+            turn = np.flatnonzero(known & ~same)
+            turned = self._turned(symbol[turn], row[turn], length[turn])
+            row, length = np.where(same, self.starts[before] + rank, 0), np.where(same, length + 1, 0)
+            row[turn], length[turn] = turned
+            length = np.minimum(length, self.window)
             lengths[at] = length
-            long = length >= self.window
-            classes[at[long]] = self.classes[low[long]]
             at = at - 1
             live = at >= first
             if not live.all():
-                at, first, low, high, length = at[live], first[live], low[live], high[live], length[live]
-        return lengths, classes
+                at, first, row, length = at[live], first[live], row[live], length[live]
+        return lengths
+
+    def _turned(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and lengths after a symbol that doesn't stand before ``row``: by the nearest rows that it stands before."""
+        rank = self.tree.rank(symbol, [row])[0]
+        total = self.starts[symbol + 1] - self.starts[symbol]
+        above, below = np.flatnonzero(rank > 0), np.flatnonzero(rank < total)
+        up, down = np.full(len(row), -1), np.full(len(row), -1)
+        up[above] = self.shared.of(self.tree.select(symbol[above], rank[above] - 1) + 1, row[above] + 1)
+        down[below] = self.shared.of(row[below] + 1, self.tree.select(symbol[below], rank[below]) + 1)
+        chosen = np.where(up >= down, rank - 1, rank)
+        return self.starts[symbol] + chosen, np.minimum(length, np.maximum(up, down)) + 1
+
+
+class Segments:
+    """Segments of a shard with their suffixes in order; an index of any of them, by node."""
+
+    def __init__(self, values: np.ndarray, bounds: np.ndarray, window: int):
+        """``values`` are integers above 0; number 0 ends every segment."""
+        n = len(bounds) - 1
+        self.values, self.bounds, self.window = values, bounds, window
+        spread = bounds + np.arange(n + 1)
+        self.text = np.zeros(len(values) + n, np.int64)
+        held = np.ones(len(self.text), bool)
+        held[spread[1:] - 1] = False
+        self.text[held] = values
+        self.of = np.repeat(np.arange(n), np.diff(bounds))
+        order, rank = suffix_array(self.text, spread)
+        kind = np.uint8 if window < 256 else np.int32
+        self.order = order
+        self.shared = Least(common_prefixes(self.text, spread, order, rank, window).astype(kind))
+        self.before = np.zeros(len(self.text), np.int64)
+        self.before[1:] = self.text[:-1]
+        self.before[spread[:-1]] = 0
+        self.segment = np.repeat(np.arange(n), np.diff(spread))
+
+    def match(self, older: np.ndarray, later: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ``later`` segments, and their matching statistics against ``older`` ones of the same node."""
+        rows = np.flatnonzero(older[self.segment[self.order]])
+        nodes = node[self.segment[self.order[rows]]]
+        by_node = np.argsort(nodes, kind="stable")
+        rows, nodes = rows[by_node], nodes[by_node]
+        at = self.order[rows]
+        shared = np.zeros(len(rows), self.shared.values.dtype)
+        same = np.flatnonzero(np.diff(nodes) == 0) + 1
+        shared[same] = self.shared.of(rows[same - 1] + 1, rows[same] + 1)
+        # A node's words are symbols of its own; rows are in the order of their first symbols.
+        most = int(self.text.max()) + 1
+        key = nodes * most + self.text[at]
+        new = np.concatenate(([True], np.diff(key) != 0))
+        symbols = key[new]
+        index = FMIndex(np.cumsum(new) - 1, np.searchsorted(symbols, nodes * most + self.before[at]), shared, len(symbols), self.window)
+        places = np.flatnonzero(later[self.of])
+        wanted = node[self.of[places]] * most + self.values[places]
+        found = np.minimum(np.searchsorted(symbols, wanted), len(symbols) - 1)
+        sizes = np.diff(self.bounds)[later]
+        streamed = np.where(symbols[found] == wanted, found, -1)
+        return places, index.match(streamed, np.concatenate(([0], np.cumsum(sizes))))
 
 
 def solver(window: int):
-    def solve(raw: np.ndarray, bounds: np.ndarray, n_windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    def solve(raw: np.ndarray, bounds: np.ndarray, n_windows: np.ndarray, owners: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
         units = word_units(raw, bounds)
         values = np.unique(units.values, return_inverse=True)[1].reshape(-1) + 1
-        index = FMIndex(values, units.bounds, window)
-        lengths, classes = index.match(values, units.bounds)
-        segment = np.repeat(np.arange(len(owners)), np.diff(units.bounds))
-        is_window = lengths >= window
-        least = np.full(index.classes[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, classes[is_window], owners[segment[is_window]])
-        return least[classes[is_window]]
+        segments = Segments(values, units.bounds, window)
+        # Numbers of a group's owners, in order.
+        group = np.zeros(len(owners), np.int64) if groups is None else np.unique(groups, return_inverse=True)[1].reshape(-1)
+        order = np.lexsort((owners, group))
+        new_group = np.diff(group[order], prepend=-1) != 0
+        new_owner = np.cumsum(new_group | (np.diff(owners[order], prepend=0) != 0))
+        number = np.empty(len(owners), np.int64)
+        number[order] = new_owner - new_owner[new_group][np.cumsum(new_group) - 1]
+        place = np.arange(len(values)) - units.bounds[segments.of]
+        is_window = place < n_windows[segments.of]
+        gone = np.zeros(len(values), bool)
+        for level in range(int(number.max()).bit_length()):
+            # Segments that have lost all their windows needn't be streamed again.
+            open_windows = np.bincount(segments.of[is_window & ~gone], minlength=len(owners))
+            later = (number >> level & 1 == 1) & (open_windows > 0)
+            if not later.any():
+                continue
+            node = np.unique(np.stack((group, number >> level + 1)), axis=1, return_inverse=True)[1].reshape(-1)
+            older = (number >> level & 1 == 0) & np.isin(node, node[later])
+            places, lengths = segments.match(older, later, node)
+            gone[places[lengths >= window]] = True
+        return np.where(gone, np.iinfo(np.int64).min, owners[segments.of])[is_window]
 
     return solve
 

@@ -53,8 +53,9 @@ RUN_KIND = np.dtype([("at", "<i4"), ("n", "<u2")])
 # Windows that take over what is found for as many windows from ``of`` on.
 TWIN_KIND = np.dtype([("of", "<i4"), ("at", "<i4"), ("n", "<u2")])
 
-# solve(bytes, bounds, n_windows, owners) -> smallest owner of every window, in order.
-Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+# solve(bytes, bounds, n_windows, owners, groups) -> for every window, in order, a number below its
+# owner if a smaller owner has it, else its owner. Equal windows are in segments of equal groups.
+Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -286,7 +287,7 @@ def repeated_runs(chunks: DataFrame, cut: Callable, window: int, gram: int, solv
         begins = np.cumsum(held, dtype=np.int64) - held
         if len(several):
             chosen = heads[several]
-            least[_places(offsets[several], lengths[several])] = solve(*_gather(raw, begins[chosen], begins[chosen] + size[chosen]), lengths[several], owner[several])
+            least[_places(offsets[several], lengths[several])] = solve(*_gather(raw, begins[chosen], begins[chosen] + size[chosen]), lengths[several], owner[several], anchor[chosen])
         # Which windows of a content a document before its owner has.
         of = np.repeat(np.arange(len(heads)), lengths)
         inside = np.arange(len(of)) - offsets[of]

@@ -9,6 +9,9 @@ several shards hold it, their windows are merged by binary search.
 Costs follow the input: anchors are sent as 4 bytes, about one per 11 bytes of
 text; segments are sent only where an anchor repeats. Long grams keep anchors
 rare that repeat by chance, whose number grows faster than the text.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing
+names are as ``passages`` defines them.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ GRAM = 30
 
 
 def solver(window: int):
-    def solve(values: np.ndarray, bounds: np.ndarray, n_windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    def solve(values: np.ndarray, bounds: np.ndarray, n_windows: np.ndarray, owners: np.ndarray, groups: np.ndarray | None = None) -> np.ndarray:
         order, rank = suffix_array(values, bounds)
         shared = common_prefixes(values, bounds, order, rank, window)
         segment = np.repeat(np.arange(len(owners)), np.diff(bounds))
