@@ -40,14 +40,15 @@ class WaveletTree:
 
     def __init__(self, sequence: np.ndarray, symbols: int):
         self.levels = max(1, int(symbols - 1).bit_length())
-        self.bits, self.counts, self.zeros = [], [], []
+        self.bits, self.counts, self.clear, self.zeros = [], [], [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (sequence >> level) & 1
             padded = np.zeros((len(bit) + 64) // 64 * 64, np.uint8)
             padded[: len(bit)] = bit
             words = np.packbits(padded, bitorder="little").view(np.uint64)
             self.bits.append(words)
-            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))).astype(np.uint32))
+            self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))))
+            self.clear.append(64 * np.arange(len(words) + 1) - self.counts[-1])
             self.zeros.append(int(len(bit) - bit.sum()))
             sequence = np.concatenate((sequence[bit == 0], sequence[bit == 1]))
 
@@ -77,8 +78,7 @@ class WaveletTree:
         place = start + k
         for level in range(self.levels - 1, -1, -1):
             one = sides[level]
-            counts = self.counts[level].astype(np.int64)
-            clear = 64 * np.arange(len(counts)) - counts
+            counts, clear = self.counts[level], self.clear[level]
             left = np.where(one, place - self.zeros[level], place)
             word = np.where(one, np.searchsorted(counts, left, "right"), np.searchsorted(clear, left, "right")) - 1
             left = left - np.where(one, counts[word], clear[word])
@@ -86,7 +86,9 @@ class WaveletTree:
             inside = np.zeros(len(word), np.int64)
             for width in (32, 16, 8, 4, 2, 1):
                 below = np.bitwise_count((bits >> inside.astype(np.uint64)) & _LOW[width]).astype(np.int64)
-                inside, left = np.where(left >= below, inside + width, inside), np.where(left >= below, left - below, left)
+                beyond = left >= below
+                inside += width * beyond
+                left -= below * beyond
             place = (word << 6) + inside
         return place
 
@@ -143,14 +145,17 @@ class FMIndex:
         self.tree = WaveletTree(before, symbols)
         self.shared = Least(shared)
 
-    def match(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """For each place of the streamed segments: how many symbols from there on occur in the index.
+    def match(self, symbols: np.ndarray, first: np.ndarray, stop: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
+        """For each place from ``first`` to ``stop``: how many symbols from there on occur in the index.
 
-        A symbol below 0 is one that the index doesn't have.
+        A symbol below 0 is one that the index doesn't have. With ``base``, where
+        segments start, a search ends where no window that starts at or before
+        its place can be matched: such a window needs the symbols up to its own end.
         """
         lengths = np.zeros(len(symbols), np.int64)
-        at, first = bounds[1:] - 1, bounds[:-1]
-        at, first = at[at >= first], first[at >= first]
+        at = stop - 1
+        going = at >= first
+        at, first, base = at[going], first[going], None if base is None else base[going]
         row, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         while len(at):
             symbol = symbols[at]
@@ -163,10 +168,13 @@ class FMIndex:
             row[turn], length[turn] = turned
             length = np.minimum(length, self.window)
             lengths[at] = length
+            live = at > first
+            if base is not None:
+                live &= length >= self.window - (at - base)
             at = at - 1
-            live = at >= first
             if not live.all():
                 at, first, row, length = at[live], first[live], row[live], length[live]
+                base = None if base is None else base[live]
         return lengths
 
     def _turned(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +183,11 @@ class FMIndex:
         total = self.starts[symbol + 1] - self.starts[symbol]
         above, below = np.flatnonzero(rank > 0), np.flatnonzero(rank < total)
         up, down = np.full(len(row), -1), np.full(len(row), -1)
-        up[above] = self.shared.of(self.tree.select(symbol[above], rank[above] - 1) + 1, row[above] + 1)
-        down[below] = self.shared.of(row[below] + 1, self.tree.select(symbol[below], rank[below]) + 1)
+        both = np.concatenate((above, below))
+        nearest = self.tree.select(symbol[both], np.concatenate((rank[above] - 1, rank[below])))
+        here = row[both]
+        common = self.shared.of(np.minimum(nearest, here) + 1, np.maximum(nearest, here) + 1)
+        up[above], down[below] = common[: len(above)], common[len(above) :]
         chosen = np.where(up >= down, rank - 1, rank)
         return self.starts[symbol] + chosen, np.minimum(length, np.maximum(up, down)) + 1
 
@@ -203,8 +214,13 @@ class Segments:
         self.before[spread[:-1]] = 0
         self.segment = np.repeat(np.arange(n), np.diff(spread))
 
-    def match(self, older: np.ndarray, later: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the ``later`` segments, and their matching statistics against ``older`` ones of the same node."""
+    def match(self, older: np.ndarray, later: np.ndarray, node: np.ndarray, n_windows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ``later`` segments, and their matching statistics against ``older`` ones of the same node.
+
+        With ``n_windows`` the statistics may be less where they don't reach the
+        window. The words that all windows of a segment share are searched first; the
+        whole segment follows where they are found.
+        """
         rows = np.flatnonzero(older[self.segment[self.order]])
         nodes = node[self.segment[self.order[rows]]]
         by_node = np.argsort(nodes, kind="stable")
@@ -222,9 +238,18 @@ class Segments:
         places = np.flatnonzero(later[self.of])
         wanted = node[self.of[places]] * most + self.values[places]
         found = np.minimum(np.searchsorted(symbols, wanted), len(symbols) - 1)
-        sizes = np.diff(self.bounds)[later]
+        stop = np.cumsum(np.diff(self.bounds)[later])
+        base = stop - np.diff(self.bounds)[later]
         streamed = np.where(symbols[found] == wanted, found, -1)
-        return places, index.match(streamed, np.concatenate(([0], np.cumsum(sizes))))
+        if n_windows is None:
+            return places, index.match(streamed, base, stop)
+        # From the start of the last window to the end of the first one.
+        core = base + n_windows[later] - 1
+        has_core = n_windows[later] <= self.window
+        lengths = index.match(streamed, core[has_core], (base + self.window)[has_core], base[has_core])
+        chosen = ~has_core
+        chosen[has_core] = lengths[core[has_core]] >= (base + self.window - core)[has_core]
+        return places, index.match(streamed, base[chosen], stop[chosen], base[chosen])
 
 
 def solver(window: int):
@@ -250,7 +275,7 @@ def solver(window: int):
                 continue
             node = np.unique(np.stack((group, number >> level + 1)), axis=1, return_inverse=True)[1].reshape(-1)
             older = (number >> level & 1 == 0) & np.isin(node, node[later])
-            places, lengths = segments.match(older, later, node)
+            places, lengths = segments.match(older, later, node, n_windows)
             gone[places[lengths >= window]] = True
         return np.where(gone, np.iinfo(np.int64).min, owners[segments.of])[is_window]
 

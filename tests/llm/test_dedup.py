@@ -225,6 +225,10 @@ def test_matching_statistics_equal_brute_force(texts, seed, w):
         for x, k, late in zip(texts, node, later) if late for i in range(len(x))
     ]
     assert lengths.tolist() == want
+    n = np.maximum(np.diff(bounds) - w + 1, 1)
+    if (np.diff(bounds) >= w).all():
+        _, some = Segments(values, bounds, w).match(~later, later, node, n)
+        assert (some == w).tolist() == (lengths == w).tolist() and (some <= lengths).all()
     assert places.tolist() == [i for t, late in enumerate(later) if late for i in range(bounds[t], bounds[t + 1])]
 
 
@@ -235,7 +239,7 @@ def test_the_statistics_decide(monkeypatch):
     bounds, n, owners = np.array([0, 7, 14, 21]), np.array([2, 2, 2]), np.array([1, 2, 3])
     solved = lambda: (word_solver(3)(raw, bounds, n, owners) < np.repeat(owners, n)).tolist()
     assert solved() == [False, False, False, True, False, False]
-    ends = lambda self, symbols, bounds: np.concatenate([np.arange(b - a, 0, -1) for a, b in zip(bounds, bounds[1:])])
+    ends = lambda self, symbols, first, stop, base: np.repeat(stop, len(symbols) // len(stop)) - np.arange(len(symbols))
     monkeypatch.setattr("pricewright.llm.fm_dedup.FMIndex.match", ends)
     assert solved() != [False, False, False, True, False, False]
 
