@@ -1,8 +1,8 @@
-"""Python functions on Arrow batches, each next to what bounds its groups.
+"""Price measures around a Python function on Arrow batches.
 
-``price_trend`` is what no built-in has. The built-ins do the others faster; those
-show where user code plugs in. The functions are made inside others so that they travel to the workers by value
-and no worker has to import this package.
+``price_trend`` is what no built-in has; the others are built-ins. The function is
+made inside another so that it travels to the workers by value and no worker has
+to import this package.
 """
 
 from __future__ import annotations
@@ -12,22 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def geometric_mean_udf():
-    def geometric_mean(values):
-        return float(np.exp(np.log(values).mean()))
-
-    geometric_mean.__annotations__ = {"values": pd.Series, "return": float}
-    return F.pandas_udf(geometric_mean, T.DoubleType())
-
-
 def geometric_prices(daily: DataFrame, by: str) -> DataFrame:
-    """Geometric mean of daily prices per ``by`` and year, by the function
-    above and by built-ins. ``daily`` has one row per ``by`` and day, so a
-    group holds at most 366 rows. The two kinds cannot share an ``agg``."""
+    """Geometric mean of daily prices per ``by`` and year, and the same by logarithms of base two."""
     days = daily.filter(F.col("price") > 0).withColumn("year", F.year("day"))
-    own = days.groupBy(by, "year").agg(geometric_mean_udf()("price").alias("geo_price"))
-    built_in = days.groupBy(by, "year").agg(F.exp(F.avg(F.ln("price"))).alias("geo_price_check"))
-    return own.join(built_in, [by, "year"])
+    return days.groupBy(by, "year").agg(
+        F.exp(F.avg(F.ln("price"))).alias("geo_price"), F.pow(F.lit(2.0), F.avg(F.log2("price"))).alias("geo_price_check")
+    )
 
 
 def theil_sen_udf():
@@ -52,37 +42,15 @@ def price_trend(lines: DataFrame, by: str = "p_brand") -> DataFrame:
     return months.groupBy(by).agg(theil_sen_udf()(F.col("month").cast("double"), F.col("price")).alias("slope"))
 
 
-def price_steps_udtf():
-    class PriceSteps:
-        """Equal steps between two prices."""
-
-        def eval(self, low, high, steps):
-            if low is None or high is None:
-                return
-            width = (high - low) / steps
-            for i in range(steps):
-                yield i + 1, low + i * width, low + (i + 1) * width
-
-    step = T.StructType().add("step", T.IntegerType()).add("low", T.DoubleType()).add("high", T.DoubleType())
-    return F.udtf(PriceSteps, returnType=step)
-
-
 def price_steps(ranges: DataFrame, by: str, steps: int) -> DataFrame:
-    """Steps from ``low`` to ``high`` for each row of ``ranges``."""
-    bounds = ranges.select(F.col(by), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    made = price_steps_udtf()(F.col("_low").outer(), F.col("_high").outer(), F.lit(int(steps)))
-    return bounds.lateralJoin(made).drop("_low", "_high")
+    """Equal steps from ``low`` to ``high`` for each row of ``ranges``; none where one of them is null."""
+    width = (F.col("high") - F.col("low")) / steps
+    whole = ranges.where("low IS NOT NULL AND high IS NOT NULL").withColumn("_width", width)
+    made = whole.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(int(steps)))))
+    low = F.col("low") + (F.col("step") - 1) * F.col("_width")
+    return made.select(by, "step", low.alias("low"), (F.col("low") + F.col("step") * F.col("_width")).alias("high"))
 
 
 def median_daily_price(daily: DataFrame) -> DataFrame:
-    """Median of a product's daily prices, group by group in pandas. A group
-    is bounded by the number of calendar days."""
-
-    def median(days):
-        return pd.DataFrame({"l_partkey": days["l_partkey"].iloc[:1], "median_price": [days["price"].median()]})
-
-    # Python work per group is slow and its bytes are few; a stated number of
-    # partitions keeps adaptive execution from merging them into one task.
-    tasks = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = daily.select("l_partkey", "price").repartition(tasks, "l_partkey")
-    return spread.groupBy("l_partkey").applyInPandas(median, "l_partkey bigint, median_price double")
+    """Median of a product's daily prices; a group is bounded by the number of calendar days."""
+    return daily.groupBy("l_partkey").agg(F.median("price").alias("median_price"))
