@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricewright.functions import columns as C, udfs
-from pricewright.operators import aggregates, cleaning, facts, indexes, joins, outliers, quantiles, sets, windows
-from pricewright.session import fresh_path
+from pricewright.operators import aggregates, cleaning, facts, indexes, joins, outliers, quantiles, sets, sketches, windows
+from pricewright.session import fresh_path, written
 from pricewright.sources.sinks import write_by_year
 from pricewright.sources.tables import load, load_stream, stream_path
 from pricewright.streaming import activity
@@ -126,6 +126,17 @@ def products_approx(spark, sf_dir):
     return both.select("p_brand", F.col("exact").alias("products"), near.alias("near"))
 
 
+@query
+def products_by_year_sketched(spark, sf_dir):
+    """The exact count per brand and year, and whether that of merged daily sketches is within three deviations."""
+    lines = _branded(spark, sf_dir).select("p_brand", "l_partkey", "l_shipdate")
+    stored = written(sketches.daily_sketches(lines, ["p_brand"], "l_partkey", "l_shipdate"), "daily-sketches")
+    estimates = sketches.merged_counts(stored, ["p_brand"], F.year("day"), "year")
+    exact = lines.groupBy("p_brand", F.year("l_shipdate").alias("year")).agg(F.count_distinct("l_partkey").alias("products"))
+    near = F.abs(F.col("items") - F.col("products")) <= 3 * sketches.ERROR * F.col("products") + 1
+    return longs(exact.join(estimates, ["p_brand", "year"]), "year").select("p_brand", "year", "products", near.alias("near"))
+
+
 @query
 def price_shape(spark, sf_dir):
     return rounded(aggregates.price_shape(_branded(spark, sf_dir)), "skewness", "kurtosis")

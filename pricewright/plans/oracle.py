@@ -83,6 +83,8 @@ ORACLE = {
     "price_quantiles_approx": f"""select p_brand, count(unit_price) as n, true as p05_near, true as q1_near, true as median_near,
         true as q3_near, true as p95_near from {_BRANDED} group by 1""",
     "products_approx": f"select p_brand, count(distinct l_partkey) as products, true as near from {_BRANDED} group by 1",
+    "products_by_year_sketched": f"""select p_brand, year(l_shipdate) as year, count(distinct l_partkey) as products, true as near
+        from {_BRANDED} group by 1, 2""",
     # Spark gives the population form of skewness; the factor undoes the sample correction.
     "price_shape": f"""select p_brand, round(skewness(unit_price) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)) + 1e-9, 6)
         as skewness, round(kurtosis_pop(unit_price) + 1e-9, 6) as kurtosis from {_BRANDED} group by 1""",

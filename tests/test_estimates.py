@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricewright.operators import aggregates
+from pricewright.operators import aggregates, sketches
 from pricewright.operators.facts import branded_lines
 from pricewright.sources.tables import load
 
@@ -30,3 +30,13 @@ def test_products_near_exact(spark, sf_dir):
     exact = {r[0]: r[1] for r in lines.groupBy("p_brand").agg(F.count_distinct("l_partkey")).collect()}
     for r in aggregates.approx_products(lines, "p_brand", 0.02).collect():
         assert abs(r["products"] - exact[r["p_brand"]]) <= max(1, 0.1 * exact[r["p_brand"]])
+
+
+def test_merged_daily_sketches_count_as_one(spark):
+    """Items seen on several days count once; nulls count for nothing."""
+    rows = [("a", i % 50, f"2024-01-{1 + i % 9:02d}") for i in range(900)] + [("a", None, "2024-01-01"), ("b", None, "2024-01-01"), ("b", 1, None)]
+    days = sketches.daily_sketches(spark.createDataFrame(rows, "k string, item long, at string"), ["k"], "item", "at")
+    assert days.count() == 11
+    got = sketches.merged_counts(days, ["k"], F.year("day")).collect()
+    assert {(r["k"], r["period"]): r["items"] for r in got} == {("a", 2024): 50, ("b", 2024): 0, ("b", None): 1}
+    assert sketches.merged_counts(days.limit(0), ["k"], F.year("day")).count() == 0
