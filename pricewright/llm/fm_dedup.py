@@ -40,7 +40,10 @@ class WaveletTree:
 
     def __init__(self, sequence: np.ndarray, symbols: int):
         self.levels = max(1, int(symbols - 1).bit_length())
-        self.bits, self.counts, self.clear, self.zeros = [], [], [], []
+        self.bits, self.counts, self.zeros = [], [], []
+        # Where the places of the sequence are after the last level, symbol by symbol.
+        self.origin = np.arange(len(sequence), dtype=np.int32)
+        sequence = sequence.astype(np.int32)
         for level in range(self.levels - 1, -1, -1):
             bit = (sequence >> level) & 1
             padded = np.zeros((len(bit) + 64) // 64 * 64, np.uint8)
@@ -48,53 +51,41 @@ class WaveletTree:
             words = np.packbits(padded, bitorder="little").view(np.uint64)
             self.bits.append(words)
             self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))))
-            self.clear.append(64 * np.arange(len(words) + 1) - self.counts[-1])
-            self.zeros.append(int(len(bit) - bit.sum()))
-            sequence = np.concatenate((sequence[bit == 0], sequence[bit == 1]))
+            one, zero = np.flatnonzero(bit), np.flatnonzero(bit == 0)
+            self.zeros.append(len(zero))
+            sequence, self.origin = (np.concatenate((x[zero], x[one])) for x in (sequence, self.origin))
+        every = np.arange(symbols)
+        self.first = self._down(every, np.zeros(symbols, np.int64))
 
     def rank(self, symbol: np.ndarray, places: list[np.ndarray]) -> list[np.ndarray]:
         """How often each symbol stands before each place, for several places."""
-        start, places = np.zeros(len(symbol), np.int64), list(places)
-        for k in range(self.levels):
-            one = (symbol >> (self.levels - 1 - k)) & 1 == 1
-            start, *places = (self._step(k, one, p) for p in (start, *places))
-        return [p - start for p in places]
+        first = self.first[symbol]
+        return [self._down(symbol, p) - first for p in places]
 
     def access(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and how often it stands before."""
-        symbol, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        for k in range(self.levels):
-            one = (self.bits[k][place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+        symbol = np.zeros(len(place), np.int64)
+        for bits, counts, zeros in zip(self.bits, self.counts, self.zeros, strict=True):
+            word, inside = place >> 6, _LOW[place & 63]
+            held = bits[word]
+            one = held & (inside + np.uint64(1)) != 0
+            ones = counts[word] + np.bitwise_count(held & inside)
             symbol = symbol << 1 | one
-            start, place = self._step(k, one, start), self._step(k, one, place)
-        return symbol, place - start
+            place = np.where(one, zeros + ones, place - ones)
+        return symbol, place - self.first[symbol]
 
     def select(self, symbol: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Where each symbol stands for the k-th time, from 0; it must."""
-        start, sides = np.zeros(len(symbol), np.int64), []
-        for level in range(self.levels):
-            sides.append((symbol >> (self.levels - 1 - level)) & 1 == 1)
-            start = self._step(level, sides[-1], start)
-        place = start + k
-        for level in range(self.levels - 1, -1, -1):
-            one = sides[level]
-            counts, clear = self.counts[level], self.clear[level]
-            left = np.where(one, place - self.zeros[level], place)
-            word = np.where(one, np.searchsorted(counts, left, "right"), np.searchsorted(clear, left, "right")) - 1
-            left = left - np.where(one, counts[word], clear[word])
-            bits = np.where(one, self.bits[level][word], ~self.bits[level][word])
-            inside = np.zeros(len(word), np.int64)
-            for width in (32, 16, 8, 4, 2, 1):
-                below = np.bitwise_count((bits >> inside.astype(np.uint64)) & _LOW[width]).astype(np.int64)
-                beyond = left >= below
-                inside += width * beyond
-                left -= below * beyond
-            place = (word << 6) + inside
-        return place
+        return self.origin[self.first[symbol] + k].astype(np.int64)
 
-    def _step(self, k: int, one: np.ndarray, place: np.ndarray) -> np.ndarray:
-        ones = self.counts[k][place >> 6] + np.bitwise_count(self.bits[k][place >> 6] & _LOW[place & 63]).astype(np.int64)
-        return np.where(one, self.zeros[k] + ones, place - ones)
+    def _down(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where each place is after the last level, for the given symbols."""
+        for k in range(self.levels):
+            one = (symbol >> (self.levels - 1 - k)) & 1 == 1
+            word = place >> 6
+            ones = self.counts[k][word] + np.bitwise_count(self.bits[k][word] & _LOW[place & 63])
+            place = np.where(one, self.zeros[k] + ones, place - ones)
+        return place
 
 
 class Least:
@@ -133,16 +124,23 @@ class Least:
 
 
 class FMIndex:
-    """Rows in the order of their suffixes, for matching statistics up to ``window``.
+    """Rows in the order of their nodes and suffixes, for matching statistics up to ``window``.
 
     ``first`` and ``before`` are the symbols at and before each suffix, ``shared``
-    is what a row has in common with the row above it.
+    is what a row has in common with the row above it, ``nodes`` are the symbols' nodes
+    in order. The tree holds a symbol's number within its node, so that it has as many
+    levels as the largest node needs.
     """
 
-    def __init__(self, first: np.ndarray, before: np.ndarray, shared: np.ndarray, symbols: int, window: int):
+    def __init__(self, first: np.ndarray, before: np.ndarray, shared: np.ndarray, nodes: np.ndarray, window: int):
         self.window = window
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=symbols))))
-        self.tree = WaveletTree(before, symbols)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(first, minlength=len(nodes)))))
+        opening = np.searchsorted(nodes, nodes)
+        self.number = np.arange(len(nodes)) - opening
+        self.home = self.starts[opening]
+        self.tree = WaveletTree(self.number[before], int(self.number.max()) + 1)
+        # How often a symbol's number stands in the rows of earlier nodes.
+        self.earlier = self.tree.rank(self.number, [self.home])[0]
         self.shared = Least(shared)
 
     def match(self, symbols: np.ndarray, first: np.ndarray, stop: np.ndarray, base: np.ndarray | None = None) -> np.ndarray:
@@ -160,11 +158,12 @@ class FMIndex:
         while len(at):
             symbol = symbols[at]
             known = symbol >= 0
+            row = np.where(length == 0, self.home[symbol], row)
             before, rank = self.tree.access(row)
-            same = known & (before == symbol)
+            same = known & (before == self.number[symbol])
             turn = np.flatnonzero(known & ~same)
             turned = self._turned(symbol[turn], row[turn], length[turn])
-            row, length = np.where(same, self.starts[before] + rank, 0), np.where(same, length + 1, 0)
+            row, length = np.where(same, self.starts[symbol] + rank - self.earlier[symbol], 0), np.where(same, length + 1, 0)
             row[turn], length[turn] = turned
             length = np.minimum(length, self.window)
             lengths[at] = length
@@ -179,12 +178,13 @@ class FMIndex:
 
     def _turned(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and lengths after a symbol that doesn't stand before ``row``: by the nearest rows that it stands before."""
-        rank = self.tree.rank(symbol, [row])[0]
+        number, earlier = self.number[symbol], self.earlier[symbol]
+        rank = self.tree.rank(number, [row])[0] - earlier
         total = self.starts[symbol + 1] - self.starts[symbol]
         above, below = np.flatnonzero(rank > 0), np.flatnonzero(rank < total)
         up, down = np.full(len(row), -1), np.full(len(row), -1)
         both = np.concatenate((above, below))
-        nearest = self.tree.select(symbol[both], np.concatenate((rank[above] - 1, rank[below])))
+        nearest = self.tree.select(number[both], earlier[both] + np.concatenate((rank[above] - 1, rank[below])))
         here = row[both]
         common = self.shared.of(np.minimum(nearest, here) + 1, np.maximum(nearest, here) + 1)
         up[above], down[below] = common[: len(above)], common[len(above) :]
@@ -234,7 +234,7 @@ class Segments:
         key = nodes * most + self.text[at]
         new = np.concatenate(([True], np.diff(key) != 0))
         symbols = key[new]
-        index = FMIndex(np.cumsum(new) - 1, np.searchsorted(symbols, nodes * most + self.before[at]), shared, len(symbols), self.window)
+        index = FMIndex(np.cumsum(new) - 1, np.searchsorted(symbols, nodes * most + self.before[at]), shared, symbols // most, self.window)
         places = np.flatnonzero(later[self.of])
         wanted = node[self.of[places]] * most + self.values[places]
         found = np.minimum(np.searchsorted(symbols, wanted), len(symbols) - 1)

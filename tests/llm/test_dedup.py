@@ -232,6 +232,20 @@ def test_matching_statistics_equal_brute_force(texts, seed, w):
     assert places.tolist() == [i for t, late in enumerate(later) if late for i in range(bounds[t], bounds[t + 1])]
 
 
+def test_a_tree_is_as_deep_as_its_largest_node_needs(monkeypatch):
+    """Not as all nodes together need; results are those of each node by itself."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, 6, 12) for _ in range(80)]
+    bounds, node, later = 12 * np.arange(81), np.arange(80) // 2, np.arange(80) % 2 == 1
+    sizes = []
+    tree = lambda sequence, symbols: sizes.append(symbols) or WaveletTree(sequence, symbols)
+    monkeypatch.setattr("pricewright.llm.fm_dedup.WaveletTree", tree)
+    _, lengths = Segments(np.concatenate(texts), bounds, 4).match(~later, later, node)
+    assert sizes and max(sizes) <= 6
+    want = [min(4, longest_match(bytes(x[i:].tolist()), [bytes(y.tolist())])) for y, x in zip(texts[::2], texts[1::2]) for i in range(12)]
+    assert lengths.tolist() == want
+
+
 def test_the_statistics_decide(monkeypatch):
     """Lengths that only tell how far a segment's end is give another answer."""
     one, two, other = ("a b c d", "x b c d", "x y c d")
