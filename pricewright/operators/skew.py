@@ -21,9 +21,13 @@ from pricewright.session import written
 HOT_ROWS = 2_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows; counted on the map side first."""
-    return df.groupBy(*keys).count().filter(F.col("count") > rows).select(*keys)
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS, stands_for: str | None = None) -> DataFrame:
+    """Keys with more than ``rows`` rows; counted on the map side first.
+
+    ``stands_for`` is a column with the number of rows that each row was made of.
+    """
+    n = F.sum(stands_for) if stands_for else F.count(F.lit(1))
+    return df.groupBy(*keys).agg(n.alias("count")).filter(F.col("count") > rows).select(*keys)
 
 
 def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
@@ -40,13 +44,14 @@ def by_heat(
     plain: Callable[[DataFrame], DataFrame],
     split: Callable[[DataFrame], DataFrame],
     rows: int = HOT_ROWS,
+    stands_for: str | None = None,
 ) -> DataFrame:
     """``plain`` over the light keys of ``df``, ``split`` over the heavy ones.
 
     Runs one count over the key columns. With no heavy key the result is just
     ``plain(df)``.
     """
-    hot = written(hot_keys(df, keys, rows), "hot-keys")  # its true size decides how it is joined
+    hot = written(hot_keys(df, keys, rows, stands_for), "hot-keys")  # its true size decides how it is joined
     if hot.isEmpty():
         return plain(df)
     light = join_on(df, hot, keys, "left_anti")

@@ -12,9 +12,11 @@ from pricewright.session import written
 
 def supplier_prices(lineitem: DataFrame) -> DataFrame:
     """Average price each supplier took for each product."""
-    return lineitem.groupBy("l_partkey", "l_suppkey").agg(
-        (C.summed_money("l_extendedprice") / F.nullif(F.sum("l_quantity"), F.lit(0.0))).alias("price")
-    )
+    return lineitem.groupBy("l_partkey", "l_suppkey").agg(_price())
+
+
+def _price() -> Column:
+    return (C.summed_money("l_extendedprice") / F.nullif(F.sum("l_quantity"), F.lit(0.0))).alias("price")
 
 
 def _supplier_columns(lineitem: DataFrame) -> DataFrame:
@@ -25,14 +27,18 @@ def _supplier_columns(lineitem: DataFrame) -> DataFrame:
 
 
 def supplier_position(lineitem: DataFrame, tiles: int = 4, rows: int = HOT_ROWS) -> DataFrame:
-    """Rank, dense rank and tile of each supplier's price within the product."""
-    priced = F.col("price").isNotNull()
+    """Rank, dense rank and tile of each supplier's price within the product.
+
+    Products with more than ``rows`` priced lines take the split form.
+    """
+    prices = lineitem.groupBy("l_partkey", "l_suppkey").agg(_price(), F.count(F.lit(1)).alias("_lines"))
     return by_heat(
-        _supplier_columns(lineitem),
+        written(prices.filter(F.col("price").isNotNull()), "prices"),
         ["l_partkey"],
-        lambda lines: _position_plain(supplier_prices(lines).filter(priced), tiles),
-        lambda lines: _position_split(supplier_prices(lines).filter(priced), tiles),
+        lambda light: _position_plain(light, tiles),
+        lambda heavy: _position_split(heavy, tiles, rows),
         rows,
+        "_lines",
     )
 
 
@@ -51,51 +57,68 @@ def _position_plain(prices: DataFrame, tiles: int) -> DataFrame:
     )
 
 
-def _position_split(prices: DataFrame, tiles: int) -> DataFrame:
+def _position_split(prices: DataFrame, tiles: int, rows: int) -> DataFrame:
     """The same from positions inside a price cell plus what lies below it.
 
-    Equal prices are counted once per price, and suppliers that share one are
-    placed in steps of the supplier key, so a price that everyone asks does not
-    gather in one task either.
+    A cell is one step of prices. Of a heavy one, equal prices are counted once
+    per price, and suppliers that share one are placed in steps of the supplier
+    key, so a price that everyone asks does not gather in one task either.
     """
-    key = ["l_partkey"]
-    prices = written(prices, "prices")  # an aggregate that is used six times
-    step = prices.withColumn("_step", C.price_step("price"))
-    per_price = step.groupBy(*key, "_step", "price").agg(F.count(F.lit(1)).alias("_n"))
-    per_price = with_carry(
-        per_price,
-        key,
-        "_step",
-        {"_below": (F.sum("_n"), F.sum), "_below_prices": (F.count(F.lit(1)), F.sum)},
+    # A null product is one of its own; joins on keys without nulls leave rows where they are.
+    known = F.coalesce("l_partkey", F.lit(0).cast("bigint"))
+    cell = ["_part", "_null", "_step"]
+    stepped = prices.select(known.alias("_part"), F.col("l_partkey").isNull().alias("_null"), C.price_step("price").alias("_step"), "l_suppkey", "price")
+    placed = by_heat(stepped, cell, lambda light: _placed_plain(light, cell), lambda heavy: _placed_split(heavy, cell), rows)
+
+    totals = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.max("_dense").alias("_n_prices"))
+    product = Window.partitionBy("_part", "_null")
+    lower = product.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    carry = totals.select(
+        *cell,
+        F.coalesce(F.sum("_n").over(lower), zero).alias("_below"),
+        F.coalesce(F.sum("_n_prices").over(lower), zero).alias("_below_prices"),
+        F.sum("_n").over(product).alias("_total"),
+    )
+    return placed.join(carry, cell).select(
+        F.when(~F.col("_null"), F.col("_part")).alias("l_partkey"),
+        "l_suppkey",
+        "price",
+        (F.col("_below") + F.col("_rank")).cast("int").alias("rank"),
+        (F.col("_below_prices") + F.col("_dense")).cast("int").alias("dense_rank"),
+        _tile(F.col("_below") + F.col("_place"), F.col("_total"), tiles).cast("int").alias("tile"),
     )
-    inside = Window.partitionBy(*key, "_step").orderBy("price")
-    lower = inside.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _placed_plain(prices: DataFrame, cell: list[str]) -> DataFrame:
+    """Place, rank and dense rank of each supplier within its cell."""
+    inside = Window.partitionBy(*cell)
+    # The finer order comes first, so that one sort serves both windows.
+    placed = prices.withColumn("_place", F.row_number().over(inside.orderBy("price", "l_suppkey")).cast("bigint"))
+    ranks = {"_rank": F.rank(), "_dense": F.dense_rank()}
+    return placed.withColumns({name: rank.over(inside.orderBy("price")).cast("bigint") for name, rank in ranks.items()})
+
+
+def _placed_split(prices: DataFrame, cell: list[str]) -> DataFrame:
+    """The same from one row per price, and from blocks of the suppliers that share a price."""
+    prices = written(prices, "prices")
+    inside = Window.partitionBy(*cell).orderBy("price")
     zero = F.lit(0)
+    per_price = prices.groupBy(*cell, "price").agg(F.count(F.lit(1)).alias("_n"))
     per_price = per_price.select(
-        *key,
+        *cell,
         "price",
-        (F.coalesce("_below", zero) + F.coalesce(F.sum("_n").over(lower), zero) + 1).alias("rank"),
-        (F.coalesce("_below_prices", zero) + F.row_number().over(inside)).alias("dense_rank"),
+        (F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), zero) + 1).alias("_rank"),
+        F.row_number().over(inside).cast("bigint").alias("_dense"),
         "_n",
     )
-    totals = prices.groupBy(*key).agg(F.count(F.lit(1)).alias("_total"))  # heavy products only
-
-    tie = [*key, "price"]
+    tie = [*cell, "price"]
     blocks = prices.withColumn("_block", F.floor(F.col("l_suppkey") / 100_000))
     blocks = with_carry(blocks, tie, "_block", {"_earlier": (F.count(F.lit(1)), F.sum)})
     in_block = F.row_number().over(Window.partitionBy(*tie, "_block").orderBy("l_suppkey"))
     placed = blocks.withColumn("_within", F.coalesce("_earlier", zero) + in_block)
     out = joined_back(placed, per_price, tie, "_n")
-    out = join_on(out, totals, key)
-    position = F.col("rank") + F.col("_within") - 1
-    return out.select(
-        *key,
-        "l_suppkey",
-        "price",
-        F.col("rank").cast("int").alias("rank"),
-        F.col("dense_rank").cast("int").alias("dense_rank"),
-        _tile(position, F.col("_total"), tiles).cast("int").alias("tile"),
-    )
+    return out.select(*prices.columns, (F.col("_rank") + F.col("_within") - 1).alias("_place"), "_rank", "_dense")
 
 
 def _tile(position: Column, total: Column, tiles: int) -> Column:

@@ -71,6 +71,21 @@ def test_products_given_table(lineitem, op):
     same(op(lineitem, rows=NEVER), op(lineitem, rows=30), 4)
 
 
+def test_positions_without_a_product(spark):
+    """A null product is one of its own, apart from product 0, also where prices tie."""
+    rows = [(i, (None, 0, 5)[i % 3], i // 3, 1, float(i % 2 + 1), (10.0, 10.05, 30.0, 10.0)[i % 4]) for i in range(300)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").cache()
+    for limit in (0, 15, 40):
+        same(windows.supplier_position(lines, rows=NEVER), windows.supplier_position(lines, rows=limit), 4)
+
+
+def test_positions_shuffle_few_times(lopsided_lines):
+    """Prices are shuffled to their cells; only cell totals go further."""
+    split = windows.supplier_position(lopsided_lines, rows=600)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 5
+
+
 @pytest.mark.parametrize("rows", [0, 50, 500])
 @pytest.mark.parametrize("op", [windows.rolling_activity, joins.last_view_before_purchase])
 def test_users(lopsided_events, op, rows):
