@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import written
 from .repeats import CHUNK_BYTES, chunk_ids, chunk_rows, heats, slices, unpacked, with_flags, written_bucketed
-from .textbytes import byte_values, gram_hashes, lower_ascii, mix, prefix_sums, span_hashes, texts_of, words_of
+from .textbytes import byte_values, give_back, gram_hashes, lower_ascii, mix, prefix_sums, span_hashes, text_pieces, texts_of, words_of
 
 WORDS = 3
 PERCENT = 90
@@ -96,6 +96,12 @@ class Limits:
 
 def shingles(raw: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and their bounds."""
+    parts = [_shingles(*piece, words) for piece in text_pieces(raw, bounds)]
+    sizes = np.concatenate([np.diff(of) for _, of in parts])
+    return np.concatenate([hashes for hashes, _ in parts]), np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+
+
+def _shingles(raw: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     raw = lower_ascii(raw)
     starts, ends, of = words_of(raw, bounds)
     sums = prefix_sums(span_hashes(prefix_sums(byte_values(raw)), starts, ends))
@@ -213,6 +219,7 @@ def sketched(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
                 as_bytes = [pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in (*blobs, *more)]
                 columns = [pa.array([next(numbers)], pa.int64()), *as_bytes[:4], pa.array([len(raw)], pa.int64()), *as_bytes[4:], pa.array([len(hashes) // 3], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CHUNK.split(", ")])
+        give_back()
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), text_mark(text).alias("mark"))
     return written_bucketed(packed.mapInArrow(work, CHUNK), "chunk", "sketches")
@@ -245,7 +252,8 @@ def shared_keys(chunks: DataFrame, words: int, limits: Limits) -> DataFrame:
 
     def sketch(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
         _, _, raw, bounds = unpacked(chunk)
-        return sketch_keys(*shingles(raw, bounds, words), limits)
+        keys, counts = zip(*[sketch_keys(*_shingles(*piece, words), limits) for piece in text_pieces(raw, bounds)], strict=True)
+        return np.concatenate(keys), np.concatenate(counts)
 
     columns = ["ids", "known", "bounds", "texts", "n_bytes"]
     flagged, buckets = with_flags(chunks, columns, lambda c: sketch(c)[0], total)

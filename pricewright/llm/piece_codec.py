@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .textbytes import give_back
+
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 TABLE_SIZE = 200_000
@@ -95,5 +97,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", decod
                     new.append(pa.array([codec.decode(i) for i in ids], pa.string()))
                 old = part.columns if text not in outputs else part.columns[:-1]
                 yield pa.RecordBatch.from_arrays([*old, *new], names=schema.names)
+        del codec
+        give_back()
 
     return given.mapInArrow(work, schema)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import fresh_path
-from .textbytes import byte_values, mix, prefix_sums, span_hashes, texts_of
+from .textbytes import byte_values, give_back, mix, prefix_sums, span_hashes, texts_of
 
 BUCKET_KEYS = 2_000_000
 CHUNK_BYTES = 1_000_000
@@ -96,6 +96,7 @@ def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+    give_back()
 
 
 def _spread(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,11 +9,17 @@ Thue-Morse sequences collide for any base; a second polynomial modulo the prime
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+# Text that is worked on at once where arrays of eight bytes for each of its bytes would add up.
+PIECE_BYTES = 1 << 17
+
 # Bytes that separate words.
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,6 +50,20 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def text_pieces(raw: np.ndarray, bounds: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A batch as several of about ``limit`` bytes, of whole texts; an empty batch is one piece."""
+    cuts = np.flatnonzero(np.diff(bounds[:-1] // limit)) + 1
+    for first, stop in zip([0, *cuts], [*cuts, len(bounds) - 1], strict=True):
+        yield raw[bounds[first] : bounds[stop]], bounds[first : stop + 1] - bounds[first]
+
+
+def give_back() -> None:
+    """Return the free memory of a task that is done to the system: its worker lives on, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import zstandard
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import GroupedData
 
-from pricewright.llm import parity_join, passages
+from pricewright.llm import parity_join, passages, textbytes
 from pricewright.llm.fm_dedup import Least, Segments, WaveletTree, remove_repeated_words
 from pricewright.llm.fm_dedup import solver as word_solver
 from pricewright.llm.line_dedup import LineRuns, dedup_lines
@@ -266,6 +267,26 @@ def shingle_set(text, n):
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
+def test_sets_are_made_in_pieces(monkeypatch):
+    """The same sets and keys whatever the piece, and little memory beside them."""
+    rng = np.random.default_rng(5)
+    texts = [rng.choice([b"ab", b"C", b"\xc3\xa9t", b"d\n"], n) for n in (0, 3, 40, 2, 700, 0, 90)] + [[b""]]
+    raw = np.frombuffer(b" ".join([b""] + [b" ".join(t) for t in texts]), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum([1 + len(b" ".join(t)) for t in texts])))
+    want = [x.tolist() for x in parity_join.shingles(raw, bounds, 3)]
+    limits = (1, 50, 1000)
+    for limit in limits:
+        monkeypatch.setattr(parity_join, "text_pieces", lambda r, b, n=limit: textbytes.text_pieces(r, b, n))
+        assert [x.tolist() for x in parity_join.shingles(raw, bounds, 3)] == want
+    monkeypatch.undo()
+    many = np.tile(np.frombuffer(b"seven green lights walk under stones " * 27, np.uint8), 2000)
+    tracemalloc.start()
+    hashes, of = parity_join.shingles(many, 999 * np.arange(2001), 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(of) == 2001 and most < 12 * len(many)
+
+
 def plain_components(rows, n, percent):
     sets = [shingle_set(text, n) for _, text, *_ in rows]
     label = list(range(len(rows)))
